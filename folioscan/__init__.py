@@ -1,0 +1 @@
+"""A PySpark-native engine that audits text corpora."""

@@ -62,14 +62,25 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in the one column of gone; null ids stay.
+#: A side of a join is broadcast only if its counted rows stay under this size.
+BROADCAST_BYTES = 64 << 20
+
+
+def sized(df: DataFrame, row_bytes: int = 32) -> tuple[DataFrame, int]:
+    """df materialised and its number of rows; hinted for broadcast if it is small.
 
-    Left to the optimiser: a small set of ids is broadcast by its measured size,
-    a large one is joined by sort-merge.
+    A larger one carries no hint and is joined by sort-merge.
     """
+    held = cut(df)
+    n = held.count()
+    return (F.broadcast(held) if n * row_bytes <= BROADCAST_BYTES else held), n
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in the one column of gone; null ids stay."""
     name = fresh(docs, "gone")
-    return docs.join(gone.toDF(name), docs["doc_id"] == F.col(name), "left_anti")
+    few, _ = sized(gone.toDF(name))
+    return docs.join(few, docs["doc_id"] == F.col(name), "left_anti")
 
 
 def text_of(name: str = "text") -> Column:

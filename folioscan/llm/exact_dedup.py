@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, fresh, mix, parts
+from .common import U64, fresh, mix, parts, sized
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -143,13 +143,15 @@ def hit_digests(docs: DataFrame) -> DataFrame:
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id (the lowest id of its text) and n_copies, a row for each row of docs."""
     own = docs.select("doc_id", "text", F.when(docs["text"].isNotNull(), F.xxhash64("text")).alias("h"))
-    hits = hit_digests(docs)
+    hits, _ = sized(hit_digests(docs))
     same = own.join(hits, F.col("h") == F.col("hit"), "left_semi").groupBy("h", "text").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies"))
-    whole = same.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.max("n_copies").alias("n_copies"))
     # One text to a digest, as good as always: the digest then stands for the text.
-    sure = own.select("doc_id", "h").join(whole.withColumnRenamed("h", "g"), F.col("h") == F.col("g"), "left")
-    plain = sure.where("texts is null or texts = 1").select("doc_id", F.when(F.col("texts").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-    clash = whole.where("texts > 1").select(F.col("h").alias("g"))
+    whole, _ = sized(same.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("k"), F.max("n_copies").alias("n")).withColumnRenamed("h", "g"), 64)
+    sure = own.select("doc_id", "h").join(whole, F.col("h") == F.col("g"), "left")
+    plain = sure.where("texts is null or texts = 1").select("doc_id", F.when(F.col("texts").isNull(), F.col("doc_id")).otherwise(F.col("k")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("n_copies"))
+    clash = whole.where("texts > 1").select("g")
+    if clash.isEmpty():
+        return plain
     by_text = same.join(clash, F.col("h") == F.col("g"), "left_semi").select(F.col("h").alias("g"), F.col("text").alias("t"), "keep_id", "n_copies")
     told = own.join(by_text, (F.col("h") == F.col("g")) & (F.col("text") == F.col("t"))).select("doc_id", "keep_id", "n_copies")
     return plain.unionByName(told)
@@ -158,7 +160,7 @@ def copies(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one row for each text, columns as they were."""
     h, hit, nth = fresh(docs, "h"), fresh(docs, "hit"), fresh(docs, "nth")
-    hits = hit_digests(docs).toDF(hit)
+    hits, _ = sized(hit_digests(docs).toDF(hit))
     own = docs.withColumn(h, F.when(docs["text"].isNotNull(), F.xxhash64("text")))
     single = own.join(hits, F.col(h) == F.col(hit), "left_anti")
     order = Window.partitionBy(h, "text").orderBy(F.col("doc_id").asc_nulls_last(), *[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")])

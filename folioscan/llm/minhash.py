@@ -1,6 +1,6 @@
 """MinHash near-dedup (5): a multi-index Hamming join of b-bit signatures.
 
-A signature is K b-bit components (b = 8), each the low byte of a MinHash over
+A signature is K b-bit components (b = 16), each 16 mixed bits of a MinHash over
 the text's shingles of SHINGLE words; the distance of two signatures is the
 number of components in which they differ. For all pairs within RADIUS the
 signature is split into CHUNKS chunks: by the pigeonhole principle one chunk
@@ -33,12 +33,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, batches, cut, fresh, grouped_words, mix, parts
+from .common import U64, batches, cut, fresh, grouped_words, mix, parts, sized, without
 
-K, SHINGLE, RADIUS, CHUNKS = 64, 3, 21, 11
+K, SHINGLE, RADIUS, CHUNKS, BYTES = 64, 3, 32, 11, 2
 ERRORS = RADIUS // CHUNKS
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, K, dtype=np.uint64) | U64(1)).astype(np.uint32)
@@ -60,7 +60,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def signature(sh: np.ndarray) -> bytes:
-    """K bytes. Long texts go through in pieces, so memory stays bounded."""
+    """K components of BYTES bytes. Long texts go through in pieces, so memory stays bounded."""
     low = np.full(K, 0xFFFFFFFF, dtype=np.uint32)
     x = (sh >> U64(32)).astype(np.uint32)
     for at in range(0, len(x), 4096):
@@ -68,7 +68,7 @@ def signature(sh: np.ndarray) -> bytes:
         h = part[None, :] * _A[:, None] + _B[:, None]
         np.minimum(low, h.min(axis=1), out=low)
     low = (low ^ (low >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    return (low >> np.uint32(24)).astype(np.uint8).tobytes()
+    return (low >> np.uint32(16)).astype(">u2").tobytes()
 
 
 def signatures_of(texts: list[str]) -> list[bytes | None]:
@@ -99,7 +99,7 @@ def keys_of(sig: str = "sig"):
             kept, run = [], lo
             for g in [*gone, hi]:
                 if g > run:
-                    kept.append(F.substring(sig, run + 1, g - run))
+                    kept.append(F.substring(sig, BYTES * run + 1, BYTES * (g - run)))
                 run = g + 1
             out.append(F.xxhash64(F.lit(c * 1000 + m), *kept))
     return F.array(*out)
@@ -176,7 +176,7 @@ def _edges(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit() -> list[tuple[int, int]]:
         if len(ids) < 2:
             return []
-        pairs = forest(np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), -1))
+        pairs = forest(np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(len(ids), -1))
         new = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in pairs} - told
         if len(told) < 1_000_000:
             told.update(new)
@@ -188,9 +188,8 @@ def _edges(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b != bucket:
                 out += emit()
                 bucket, ids, sigs = b, [], []
-            if not ids or ids[-1] != i:
-                ids.append(i)
-                sigs.append(s)
+            ids.append(i)
+            sigs.append(s)
         if out:
             yield pa.record_batch([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
     if out := emit():
@@ -241,19 +240,21 @@ def groups(docs: DataFrame) -> DataFrame:
     one = cut(known.groupBy("sig").agg(F.min("id").alias("id")))
     # A doc_id that repeats with other texts joins the groups of all of them.
     same = known.join(one.select(F.col("sig").alias("s"), F.col("id").alias("b")), F.col("sig") == F.col("s")).select(F.col("id").alias("a"), "b").where("a <> b")
-    roots = components(edges(one.groupBy("id").agg(F.min("sig").alias("sig"))).union(_again(one)).union(same))
+    roots = components(edges(one).union(same))
     told = signed.select("id").join(roots.select(F.col("id").alias("i"), "root"), F.col("id") == F.col("i"), "left")
     return told.select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("group_id"))
 
 
-def _again(one: DataFrame) -> DataFrame:
-    """Edges for signatures beyond the first that an id stands for (ids that repeat)."""
-    return one.select(F.col("id").alias("a"), F.col("id").alias("b")).where("a <> b")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, the one with the lowest doc_id; columns as they were."""
-    name = fresh(docs, "gone")
     told = groups(docs.where(docs["doc_id"].isNotNull()))
-    gone = told.where("doc_id <> group_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
+    kept = without(docs, told.where("doc_id <> group_id").select("doc_id").distinct())
+    # Rows that repeat an id are one document: the first of them stays.
+    twice = told.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    name, nth = fresh(docs, "twice"), fresh(docs, "nth")
+    few, _ = sized(twice.toDF(name))
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(c).cast("string") for c in docs.columns])
+    one = kept.join(few, F.col("doc_id") == F.col(name), "left_semi").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return without(kept, twice).select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -1,0 +1 @@
+"""folioscan.streaming"""
