@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_span, py_lstrip, py_strip, spans
 from ..plans.rules import EMOJI, GENERATION, Pack, Rule
-from .prose import BLOCK_START, ORDER
+from .prose import BLOCK_START, in_order
 
 HIT = "array<struct<pass:int,ordinal:int,class:string,label:string,match:string,text:string>>"
 LINE, EMOJI_PASS, WRAP, PHANTOM, EMPTY, BULLETS, CONFETTI = range(7)
@@ -95,7 +95,7 @@ def matched(text: DataFrame, pack: Pack) -> DataFrame:
     """text with hits: those of the line pass, then those across to the next line."""
     own = text.withColumn("line_all", line_hits(pack)).withColumn("line_hits", _first_of_class("line_all")).drop("line_all")
     own = own.withColumn("classes", F.transform("line_hits", lambda h: h["class"]))
-    ahead = F.lead(F.struct("line_no", "stripped", "plain", F.col("raw").rlike(BLOCK_START).alias("block"), "classes")).over(ORDER)
+    ahead = F.lead(F.struct("line_no", "stripped", "plain", F.col("raw").rlike(BLOCK_START).alias("block"), "classes")).over(in_order())
     paired = own.withColumn("next", ahead)
     closed = (F.col("kind") == "markdown") & py_lstrip(F.col("raw")).rlike(r"^[#|]")
     joins = (F.col("next.line_no") == F.col("line_no") + 1) & ~closed & ~F.col("next.block")

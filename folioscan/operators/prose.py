@@ -7,16 +7,31 @@ windows of the later operators keep that partitioning and its order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import plain, py_lstrip, py_strip, split_lines
 from .paths import comment_syntax
 
-ORDER = Window.partitionBy("file_ord").orderBy("line_no")
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-UP_TO = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-ALL = ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+# Functions, as a window can be made only once there is a session.
+def in_order() -> WindowSpec:
+    return Window.partitionBy("file_ord").orderBy("line_no")
+
+
+def before() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def up_to() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def whole_file() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 
 FENCE = r"(?U)^\s*(?:```|~~~)"
 #: A line that opens a block: a heading, a table row, a bullet, a number, a quotation.
@@ -33,15 +48,15 @@ def lines(corpus: DataFrame) -> DataFrame:
 def front_matter(rows: DataFrame) -> DataFrame:
     """rows with fm_end, the last line of the front matter (0 without one)."""
     mark = py_strip(F.col("raw"))
-    opened = F.max(F.when(F.col("line_no") == 1, mark == "---")).over(ALL)
-    closed = F.min(F.when(F.col("line_no").between(2, FRONT_MATTER_LINES) & mark.isin("---", "..."), F.col("line_no"))).over(ALL)
+    opened = F.max(F.when(F.col("line_no") == 1, mark == "---")).over(whole_file())
+    closed = F.min(F.when(F.col("line_no").between(2, FRONT_MATTER_LINES) & mark.isin("---", "..."), F.col("line_no"))).over(whole_file())
     return rows.withColumn("fm_end", F.when(opened, F.coalesce(closed, F.lit(0))).otherwise(F.lit(0)))
 
 
 def fences(rows: DataFrame) -> DataFrame:
     """rows (with fm_end) with is_fence and in_fence."""
     marked = rows.withColumn("is_fence", (F.col("line_no") > F.col("fm_end")) & F.col("raw").rlike(FENCE))
-    return marked.withColumn("in_fence", ~F.col("is_fence") & (F.sum(F.col("is_fence").cast("int")).over(UP_TO) % 2 == 1))
+    return marked.withColumn("in_fence", ~F.col("is_fence") & (F.sum(F.col("is_fence").cast("int")).over(up_to()) % 2 == 1))
 
 
 def html_comments(rows: DataFrame) -> DataFrame:
@@ -50,7 +65,7 @@ def html_comments(rows: DataFrame) -> DataFrame:
     closes = F.col("stripped").contains("-->")
     opens = F.col("stripped").startswith("<!--") & ~closes
     event = F.when(F.col("shown") & opens, 1).when(F.col("shown") & closes, 0)
-    return s.withColumn("in_comment", F.col("shown") & (F.coalesce(F.last(event, ignorenulls=True).over(BEFORE), F.lit(0)) == 1))
+    return s.withColumn("in_comment", F.col("shown") & (F.coalesce(F.last(event, ignorenulls=True).over(before()), F.lit(0)) == 1))
 
 
 def annotated(rows: DataFrame) -> DataFrame:
@@ -100,8 +115,8 @@ def comments(rows: DataFrame) -> DataFrame:
     s = s.withColumns({"opens": F.coalesce(opens, F.lit(False)), "closes": closes})
     fixed = F.when(F.col("opens") & ~F.col("closes"), 1).when(~F.col("opens") & F.col("closes"), 0)
     swap = (F.col("opens") & F.col("closes")).cast("int")
-    s = s.withColumns({"fixed": fixed, "swaps": F.sum(swap).over(UP_TO), "swap": swap})
-    s = s.withColumn("base", F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "swaps")), ignorenulls=True).over(BEFORE))
+    s = s.withColumns({"fixed": fixed, "swaps": F.sum(swap).over(up_to()), "swap": swap})
+    s = s.withColumn("base", F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "swaps")), ignorenulls=True).over(before()))
     state = (F.coalesce(F.col("base.fixed"), F.lit(0)) + F.col("swaps") - F.col("swap") - F.coalesce(F.col("base.swaps"), F.lit(0))) % 2
     inside = F.when(F.col("close") > 0, F.substring(F.col("raw"), F.lit(1), F.col("close") - 1)).otherwise(F.col("raw"))
     outside = F.when(F.col("is_block") & (F.col("inner") > 0), F.substring(F.col("rest"), F.lit(1), F.col("inner") - 1)).otherwise(F.col("rest"))

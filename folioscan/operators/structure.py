@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import mask_code, py_strip
 from .match import BULLETS, CONFETTI, EMPTY, FOUND, PHANTOM
 from .paths import comment_syntax
-from .prose import FENCE, ORDER, UP_TO, fences, front_matter, lines
+from .prose import FENCE, in_order, up_to, fences, front_matter, lines
 
 BOLD_BULLET = r"(?U)^\s*(?:\d+[).]|[-+*])\s+\*\*[^*]+\*\*"
 RUN_LEAST, BREAKS_LEAST = 5, 3
@@ -70,10 +70,10 @@ def empty_sections(corpus: DataFrame) -> DataFrame:
     Front matter and comments are lines like any other; fenced lines are body, blank ones too.
     """
     rows = _markdown(corpus).withColumn("is_fence", F.col("raw").rlike(FENCE))
-    rows = rows.withColumn("fenced", F.col("is_fence") | (F.sum(F.col("is_fence").cast("int")).over(UP_TO) % 2 == 1))
+    rows = rows.withColumn("fenced", F.col("is_fence") | (F.sum(F.col("is_fence").cast("int")).over(up_to()) % 2 == 1))
     depth = F.when(~F.col("fenced"), F.length(F.regexp_extract("raw", r"(?U)^(#{1,6})\s+\S", 1))).otherwise(0)
     body = rows.withColumn("depth", depth).where(F.col("fenced") | (py_strip(F.col("raw")) != ""))
-    after = body.withColumn("after", F.lead("depth").over(ORDER)).withColumn("any_after", F.lead(F.lit(1)).over(ORDER))
+    after = body.withColumn("after", F.lead("depth").over(in_order())).withColumn("any_after", F.lead(F.lit(1)).over(in_order()))
     bare = after.where((F.col("depth") > 0) & (F.col("any_after").isNull() | ((F.col("after") > 0) & (F.col("after") <= F.col("depth")))))
     text = py_strip(F.col("raw"))
     return _told(bare, EMPTY, "0c", "empty section", F.col("line_no"), text, text)
@@ -82,7 +82,7 @@ def empty_sections(corpus: DataFrame) -> DataFrame:
 def bold_runs(corpus: DataFrame) -> DataFrame:
     """Runs of RUN_LEAST or more bullets in a row that open with a bold term."""
     hit = _markdown(corpus).where(F.col("raw").rlike(BOLD_BULLET))
-    runs = hit.withColumn("island", F.col("line_no") - F.row_number().over(ORDER)).groupBy("file_ord", "path", "island").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= RUN_LEAST)
+    runs = hit.withColumn("island", F.col("line_no") - F.row_number().over(in_order())).groupBy("file_ord", "path", "island").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= RUN_LEAST)
     n = F.col("n").cast("string")
     return _told(runs, BULLETS, "6", "bold-term bullet run", F.col("line_no"), F.concat(n, F.lit(" consecutive bullets")), F.concat(n, F.lit(" consecutive '**Term**: …' bullets starting here")))
 
@@ -90,7 +90,7 @@ def bold_runs(corpus: DataFrame) -> DataFrame:
 def separator_confetti(corpus: DataFrame) -> DataFrame:
     """BREAKS_LEAST or more thematic breaks outside front matter and fences; a rule under text is no break."""
     rows = fences(front_matter(_markdown(corpus)))
-    above = F.lag(py_strip(F.col("raw"))).over(ORDER)
+    above = F.lag(py_strip(F.col("raw"))).over(in_order())
     rows = rows.withColumn("above", F.coalesce(above, F.lit("")))
     hit = rows.where((F.col("line_no") > F.col("fm_end")) & ~F.col("is_fence") & ~F.col("in_fence") & F.col("raw").rlike(THEMATIC) & (F.col("above") == ""))
     many = hit.groupBy("file_ord", "path").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= BREAKS_LEAST)

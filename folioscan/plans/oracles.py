@@ -99,8 +99,8 @@ FIXED = "fixed(pack, raw, new, changes) as (select * from " + values(P.EDITED) +
 STRUCT = f"""
     depths as (select *, case when not f and not inside then length(regexp_extract(raw, '^(#{{1,6}})\\s+\\S', 1)) else 0 end as depth from (
         select *, sum(f::int) over (partition by file_ord order by line_no) % 2 = 1 as inside from (select *, s like '```%' or s like '~~~%' as f from md_lines))),
-    next_lines as (select *, lead(depth) over w as after, lead(1) over w as some from depths where f or inside or s <> '' window w as (partition by file_ord order by line_no)),
-    empties as (select path, file_ord, line_no as line, '0c' as class, 'empty section' as label, s as match, s as text, 4 as pass from next_lines where depth > 0 and (some is null or (after > 0 and after <= depth))),
+    next_lines as (select *, lead(depth) over w as after, lead(1) over w as nxt from depths where f or inside or s <> '' window w as (partition by file_ord order by line_no)),
+    empties as (select path, file_ord, line_no as line, '0c' as class, 'empty section' as label, s as match, s as text, 4 as pass from next_lines where depth > 0 and (nxt is null or (after > 0 and after <= depth))),
     bold as (select file_ord, path, line_no, line_no - row_number() over (partition by file_ord order by line_no) as isle from md_lines where regexp_matches(raw, '^\\s*([-*+]|[0-9]+[.)])\\s+\\*\\*[^*]+\\*\\*')),
     bolds as (select path, file_ord, min(line_no) as line, '6' as class, 'bold-term bullet run' as label, count(*) || ' consecutive bullets' as match,
         count(*) || ' consecutive ''**Term**: …'' bullets starting here' as text, 5 as pass from bold group by path, file_ord, isle having count(*) >= 5),
