@@ -77,17 +77,20 @@ def wrap_hits(pack: Pack) -> Column:
     out = []
     for i, r in pack.wrap_rules():
         across = F.get(F.filter(spans(F.col("joined"), r.regex), lambda q: (q["s"] < F.col("cut")) & (q["e"] > F.col("cut"))), F.lit(0))
-        ok = F.lit(True)
-        if r.suppress and r.positional:
-            ok = ~_overlapped(F.col("joined"), r.suppress, across["s"], across["e"])
-        elif r.suppress:
-            ok = ~(F.col("joined") if pack.joined_suppress else across["m"]).rlike(r.suppress)
-        if r.path_suppress:
-            ok = ok & ~F.col("path").rlike(r.path_suppress)
-        # rlike first: positions are only worked out where there is a match at all
-        found = F.when(F.col("joined").rlike(r.regex), F.when(across.isNotNull() & ok, across["m"]))
-        text = F.concat_ws(" ", "stripped", "next.stripped")
-        out.append(F.when(found.isNotNull(), _hit(WRAP, i, r.cls, r.label, py_strip(found), text)))
+
+        def told(q: Column) -> Column:
+            ok = q.isNotNull()
+            if r.suppress and r.positional:
+                ok &= ~_overlapped(F.col("joined"), r.suppress, q["s"], q["e"])
+            elif r.suppress:
+                ok &= ~(F.col("joined") if pack.joined_suppress else q["m"]).rlike(r.suppress)
+            if r.path_suppress:
+                ok &= ~F.col("path").rlike(r.path_suppress)
+            return F.when(ok, _hit(WRAP, i, r.cls, r.label, py_strip(q["m"]), F.concat_ws(" ", "stripped", "next.stripped")))
+
+        # rlike first: positions are only worked out where there is a match at all. The
+        # one-element array names the match, so that the plan holds its expression once.
+        out.append(F.when(F.col("joined").rlike(r.regex), F.get(F.transform(F.array(across), told), F.lit(0))))  # told is read at once
     return _present(out)
 
 

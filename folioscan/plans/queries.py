@@ -167,15 +167,10 @@ def revision_findings(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def class_family_filter(s: SparkSession, d: str) -> DataFrame:
-    found = match.findings(files(s, d), REVISION)
-    rows = [found.where(paths.class_matches(F.col("class"), w)).agg(F.count(F.lit(1)).alias("findings")).select(F.lit(w).alias("wanted"), "findings") for w in ("0", "0.5", "1", "10", "0a")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-# -------------------------------------------------------------------- structure
+    wanted = ("0", "0.5", "1", "10", "0a")
+    hits = F.filter(F.array(*[F.when(paths.class_matches(F.col("class"), w), F.lit(w)) for w in wanted]), lambda w: w.isNotNull())
+    counts = match.findings(files(s, d), REVISION).select(F.explode(hits).alias("wanted")).groupBy("wanted").agg(F.count(F.lit(1)).alias("n"))
+    return s.createDataFrame([(w,) for w in wanted], "wanted string").join(counts, "wanted", "left").select("wanted", F.coalesce("n", F.lit(0)).alias("findings"))
 
 
 @query
