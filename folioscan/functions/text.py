@@ -72,6 +72,11 @@ def first_span(c: Column, pattern: str) -> tuple[Column, Column]:
     return start, start + F.length(F.regexp_extract(c, pattern, 0))
 
 
+def let(value: Column, fn) -> Column:
+    """fn of a value that the plan then holds once, however often fn reads it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def strip_phrase(c: Column, pattern: str) -> Column:
     """Every match removed; a word that now opens its sentence gets a capital."""
     parts = F.split(c, pattern, -1)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import py_rstrip, strip_phrase
+from ..functions.text import let, py_rstrip, strip_phrase
 from ..plans.rules import APOS, EMOJI, alt
 from .paths import comment_syntax
 from .prose import lines, prose
@@ -35,35 +37,53 @@ PLEASANTRY = (
 EMOJI_GLUE = EMOJI[:-1] + r"\x{FE0F}\x{200D}]"
 
 
+def _step(state: Column, said: str, fn) -> Column:
+    """state (new, changes) after one rewrite of new."""
+
+    def put(st: Column) -> Column:
+        named = F.array(F.lit(said))
+        return let(fn(st["new"]), lambda after: F.struct(after.alias("new"), F.when(after != st["new"], F.concat(st["changes"], named)).otherwise(st["changes"]).alias("changes")))
+
+    return let(state, put)
+
+
+def _start() -> Column:
+    return F.struct(F.col("raw").alias("new"), F.array().cast("array<string>").alias("changes"))
+
+
+def _edited(rows: DataFrame, patterns: list[str], state: Column) -> DataFrame:
+    """rows with new and changes of those lines that some pattern matches: no other line can change."""
+    some = reduce(Column.__or__, [F.col("raw").rlike(p) for p in patterns])
+    return rows.where(some).withColumn("state", state).select("*", "state.new", "state.changes").drop("state")
+
+
 def revision_edit(rows: DataFrame) -> DataFrame:
-    """rows with new and changes (empty where nothing changes)."""
-    out = rows.withColumns({"new": F.col("raw"), "changes": F.array().cast("array<string>")})
-    out = _step(out, "dropped the 'worth …' wrapper of a list's opening", lambda c: F.regexp_replace(c, COUNT_WORTH, "$1$2$3")).withColumn("whole", F.size("changes") > 0)
-    for said, pattern in REMOVED_REVISION:
-        out = _step(out, said, lambda c, pattern=pattern: F.when(F.col("whole"), c).otherwise(strip_phrase(c, pattern)))
-    return _step(out, "removed 'Then' before 'confirmed'", lambda c: F.when(F.col("whole"), c).otherwise(F.regexp_replace(c, THEN_CONFIRMED, "Confirmed"))).drop("whole")
+    """rows that a rewrite may change, with new and changes (empty where nothing changes)."""
+    first = _step(_start(), "dropped the 'worth …' wrapper of a list's opening", lambda c: F.regexp_replace(c, COUNT_WORTH, "$1$2$3"))
 
+    def others(st: Column) -> Column:
+        out = st
+        for said, pattern in REMOVED_REVISION:
+            out = _step(out, said, partial(strip_phrase, pattern=pattern))
+        out = _step(out, "removed 'Then' before 'confirmed'", lambda c: F.regexp_replace(c, THEN_CONFIRMED, "Confirmed"))
+        return F.when(F.size(st["changes"]) > 0, st).otherwise(out)
 
-def _step(rows: DataFrame, said: str, fn) -> DataFrame:
-    after = fn(F.col("new"))
-    named = rows.withColumn("after", after)
-    changes = F.when(F.col("after") != F.col("new"), F.concat("changes", F.array(F.lit(said)))).otherwise(F.col("changes"))
-    return named.withColumn("changes", changes).withColumn("new", F.col("after")).drop("after")
+    return _edited(rows, [COUNT_WORTH, THEN_CONFIRMED, *[p for _, p in REMOVED_REVISION]], let(first, others))
 
 
 def generation_edit(rows: DataFrame) -> DataFrame:
-    """rows with new (null deletes the line) and changes."""
-    out = rows.withColumns({"new": F.col("raw"), "changes": F.array().cast("array<string>")})
-    heading = F.col("new").rlike(r"(?U)^#{1,6}\s") & F.col("new").rlike(EMOJI)
+    """rows that a rewrite may change, with new (null deletes the line) and changes."""
 
     def bare(c: Column) -> Column:
         one = F.regexp_replace(F.regexp_replace(c, EMOJI_GLUE, ""), r"(?U)(#{1,6})\s+", "$1 ")
+        heading = c.rlike(r"(?U)^#{1,6}\s") & c.rlike(EMOJI)
         return F.when(heading, F.regexp_replace(py_rstrip(one), "  +", " ")).otherwise(c)
 
-    out = _step(out, "stripped emoji from a heading", bare)
+    state = _step(_start(), "stripped emoji from a heading", bare)
     for said, pattern in OPENERS:
-        out = _step(out, said, lambda c, pattern=pattern: strip_phrase(c, pattern))
+        state = _step(state, said, partial(strip_phrase, pattern=pattern))
     gone = F.col("raw").rlike(PLEASANTRY)
+    out = _edited(rows, [EMOJI, PLEASANTRY, *[p for _, p in OPENERS]], state)
     return out.withColumn("new", F.when(~gone, F.col("new"))).withColumn("changes", F.when(gone, F.array(F.lit("deleted a line of pleasantries"))).otherwise(F.col("changes")))
 
 

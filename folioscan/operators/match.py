@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_span, py_lstrip, py_strip, spans
+from ..functions.text import first_span, let, py_lstrip, py_strip, spans
 from ..plans.rules import EMOJI, GENERATION, Pack, Rule
 from .prose import BLOCK_START, in_order
 
@@ -88,9 +88,8 @@ def wrap_hits(pack: Pack) -> Column:
                 ok &= ~F.col("path").rlike(r.path_suppress)
             return F.when(ok, _hit(WRAP, i, r.cls, r.label, py_strip(q["m"]), F.concat_ws(" ", "stripped", "next.stripped")))
 
-        # rlike first: positions are only worked out where there is a match at all. The
-        # one-element array names the match, so that the plan holds its expression once.
-        out.append(F.when(F.col("joined").rlike(r.regex), F.get(F.transform(F.array(across), told), F.lit(0))))  # told is read at once
+        # rlike first: positions are only worked out where there is a match at all
+        out.append(F.when(F.col("joined").rlike(r.regex), let(across, told)))  # told is read at once
     return _present(out)
 
 
@@ -115,7 +114,8 @@ FOUND = ["file_ord", "path", "line", "class", "label", "match", "text", "pass",
 
 def text_findings(text: DataFrame, pack: Pack) -> DataFrame:
     """A row for each finding of the line and wrap passes."""
-    return matched(text, pack).select("file_ord", "path", F.col("line_no").alias("line"), F.inline("hits")).select(*FOUND)
+    # inline_outer: of a plain inline Catalyst infers a filter, and pushing it copies all rules' expressions again and again
+    return matched(text, pack).select("file_ord", "path", F.col("line_no").alias("line"), F.inline_outer("hits")).where("class is not null").select(*FOUND)
 
 
 def first_wins(found: DataFrame) -> DataFrame:
