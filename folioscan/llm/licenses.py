@@ -12,11 +12,19 @@ the batch tells.
 Defined results: null and empty texts and units of under two words match nothing;
 every template at or over the threshold is told; rows that repeat an id are told
 for each row; lines are cut at newlines only.
+
+These units are what the query's SQL compares; a notice wrapped over lines of a
+longer file, one inside a line of prose and full licence texts (license_texts/)
+are found by passages(): runs of words anywhere in a text. A run begins and ends
+with a bigram of the template and holds at most n * (2 - t) / t bigrams for its n,
+and every such run is compared, by sets as above. It gives a row for each row of
+docs and licence, with the best run; of equally good ones the first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -135,3 +143,95 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
                 yield pa.record_batch([pa.array([ids[g[0]] for g in got], pa.int64()), *(pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.string()), (3, pa.float64())))], names=["doc_id", "line_no", "license", "dice"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the licences that license_texts/ holds."""
+    return [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
+class Passages:
+    def __init__(self, templates: list[tuple[str, str]], threshold: float) -> None:
+        h, off = grouped_words([t for _, t in templates])
+        sets = [np.unique(bigrams(h[off[i] : off[i + 1]])) for i in range(len(templates))]
+        self.t = threshold
+        self.name = [name for name, _ in templates]
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        key, template = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(key, kind="stable")
+        self.key, self.template = key[order], template[order]
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[key >> U64(42)] = True
+
+    def find(self, texts: list[str]) -> list[tuple[int, str, int, int, float]]:
+        """(row, licence, first and last line, Dice coefficient), the best run of a row and licence."""
+        lines = [t.split("\n") for t in texts]
+        h, off = grouped_words([x for own in lines for x in own])
+        if len(h) < 2:
+            return []
+        first_line = np.concatenate(([0], np.cumsum([len(own) for own in lines])))
+        begin = off[first_line]
+        pair = bigrams(h)
+        known = self.maybe[pair >> U64(42)]
+        known[begin[1:-1][(begin[1:-1] > 0) & (begin[1:-1] < len(h))] - 1] = False
+        at = np.flatnonzero(known)
+        lo, hi = np.searchsorted(self.key, pair[at], side="left"), np.searchsorted(self.key, pair[at], side="right")
+        n = hi - lo
+        src = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at, template = np.repeat(at, n), self.template[src]
+        row = np.searchsorted(begin, at, side="right") - 1
+        group = row * len(self.name) + template
+        order = np.lexsort((at, group))
+        at, group = at[order], group[order]
+        names, start, count = np.unique(group, return_index=True, return_counts=True)
+        # 2 d >= t * (own + n) with own >= d: so many of a template's bigrams at least
+        need = np.ceil(self.t * self.size / (2 - self.t) - 1e-9).astype(np.int64)
+        best: dict[tuple[int, str], tuple[float, int, int]] = {}
+        before = None
+        for k in np.flatnonzero(count >= need[names % len(self.name)]).tolist():
+            r, j = divmod(int(names[k]), len(self.name))
+            p, size = at[start[k] : start[k] + count[k]], int(self.size[j])
+            stop = np.searchsorted(p, p + int(size * (2 - self.t) / self.t + 1e-9), side="left")
+            for i in np.flatnonzero(stop - np.arange(len(p)) >= need[j]).tolist():
+                if before is None:
+                    before = _before(pair)
+                run, a = p[i : stop[i]], int(p[i])
+                shared = np.cumsum(before[run] < a)
+                if shared[-1] < need[j]:
+                    continue
+                own = np.cumsum(before[a : run[-1] + 1] < a)[run - a]
+                dice = 2 * shared / (own + size)
+                e = int(np.argmax(dice))
+                held = best.get((r, self.name[j]))
+                if dice[e] >= self.t and (held is None or dice[e] > held[0]):
+                    best[r, self.name[j]] = (float(dice[e]), a, int(run[e]) + 1)
+        # words a .. b: the lines that hold them
+        line = lambda r, w: int(np.searchsorted(off, w, side="right") - first_line[r])
+        return [(r, name, line(r, a), line(r, b), round(d, 6)) for (r, name), (d, a, b) in sorted(best.items())]
+
+
+def _before(pair: np.ndarray) -> np.ndarray:
+    """Where each bigram stood last before, or -1."""
+    order = np.argsort(pair, kind="stable")
+    out = np.full(len(pair), -1, dtype=np.int64)
+    again = np.flatnonzero(pair[order][1:] == pair[order][:-1])
+    out[order[again + 1]] = order[again]
+    return out
+
+
+PASSAGES = "doc_id long, license string, first_line long, last_line long, dice double"
+
+
+def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, first_line, last_line, dice."""
+    spark = docs.sparkSession
+    batches(spark)
+    shared = spark.sparkContext.broadcast(Passages(TEMPLATES + full_texts(), threshold))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            ids = batch.column(0).to_pylist()
+            if got := shared.value.find([t or "" for t in batch.column(1).to_pylist()]):
+                yield pa.record_batch([pa.array([ids[g[0]] for g in got], pa.int64()), *(pa.array([g[k] for g in got], t) for k, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64()), (4, pa.float64())))], names=["doc_id", "license", "first_line", "last_line", "dice"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PASSAGES)

@@ -40,6 +40,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.intervals(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_exact_dedup, op2_html_extraction, op3_sentencepiece, op4_sharding, op5_minhash_near_dedup, op6_warc, op7_language_id, op8_license_scan, op9_substring_dedup, op10_benchmark_decontamination)
+_ALL = (op1_exact_dedup, op2_html_extraction, op3_sentencepiece, op4_sharding, op5_minhash_near_dedup, op6_warc, op7_language_id, op8_license_scan, op8_license_passages, op9_substring_dedup, op10_benchmark_decontamination)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
