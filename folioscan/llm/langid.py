@@ -4,8 +4,9 @@ Per language a suffix automaton is built over a bounded sample of labelled text
 (SAMPLE_DOCS pieces of at most PIECE characters, SAMPLE_CHARS in all). A text is
 parsed from left to right into the longest phrases that the sample holds; the
 entropy estimate is phrases * log2(sample length) / text length, and the language
-with the lowest wins. The automata are laid out as one dense table, and all
-blocks of a batch take each step together.
+with the lowest wins. Every letter of the samples has a symbol of its own, whatever
+the script. The automata are laid out as one table in which the transitions of
+states lie between one another, and all blocks of a batch take each step together.
 
 Whole texts are parsed. A text is cut into blocks of BLOCK letters, at each of
 whose ends a phrase ends too; this adds under one phrase a block, alike for
@@ -72,12 +73,22 @@ def letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+_LETTER: np.ndarray | None = None
+
+
+def _letters_of_unicode() -> np.ndarray:
+    global _LETTER
+    if _LETTER is None:
+        _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+    return _LETTER
+
+
 @dataclass
 class Model:
     languages: list[str]
-    lut: np.ndarray  #: symbol of each BMP character; 1 space, 0 a letter that no sample has
-    width: int
-    table: np.ndarray  #: next row offset * 2 + 1 if a phrase began, by row offset + symbol
+    lut: np.ndarray  #: symbol of each code point; 1 what is no letter, 0 a letter that no sample has
+    table: np.ndarray  #: at state + symbol: the state that the entry belongs to << 32 | the next state, or -1
+    fresh: np.ndarray  #: by language and symbol, the state that a new phrase begins with
     roots: np.ndarray
     bits: np.ndarray  #: log2 of each sample's length
     limit: float
@@ -86,8 +97,7 @@ class Model:
         """Symbols of all texts, spaces squeezed, and how many belong to each."""
         low = [t.lower() for t in texts]
         codes = codepoints("\n".join(low) + "\n")
-        sym = self.lut[np.minimum(codes, 0xFFFF)]
-        sym[codes > 0xFFFF] = 1
+        sym = self.lut[codes]
         ends = np.cumsum([len(t) + 1 for t in low])
         space = sym == 1
         keep = ~(space & np.concatenate(([True], space[:-1])))
@@ -119,16 +129,18 @@ class Model:
         order = np.argsort(-sizes, kind="stable")
         starts, sizes, owner = starts[order], sizes[order], owner[order]
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        state = np.repeat(self.roots.astype(np.int32)[:, None], len(owner), axis=1)
+        state = np.repeat(self.roots[:, None], len(owner), axis=1)
         count = np.ones((k, len(owner)), dtype=np.int32)
         table = self.table
         for step in range(int(sizes[0])):
             n = active[step]
             s = sym[starts[:n] + step]
             for j in range(k):
-                v = table.take(state[j, :n] + s)
-                count[j, :n] += v & 1
-                np.right_shift(v, 1, out=state[j, :n])
+                own = state[j, :n]
+                v = table.take(own + s)
+                ends = v >> 32 != own
+                count[j, :n] += ends
+                state[j, :n] = np.where(ends, self.fresh[j].take(s), v & 0xFFFFFFFF)
         for j in range(k):
             out[:, j] = np.bincount(owner, weights=count[j], minlength=len(texts)).astype(np.int64)
         return out, counts
@@ -138,16 +150,55 @@ class Model:
         return n * self.bits[None, :] / np.maximum(counts, 1)[:, None], n, counts
 
 
-def _table(sample: list[int], width: int, base: int) -> np.ndarray:
+def _table(sample: list[int], width: int, base: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The automaton as a double array whose first place is base: table, fresh and root of Model.
+
+    A state is the place of its symbol 0; the entries of states lie between one another, each
+    with its owner. Its size follows the transitions, not states times letters.
+    """
     go = suffix_automaton(sample)
-    root = np.zeros(width, dtype=np.int64)  # a symbol that the sample lacks ends the phrase at once
+    used = np.zeros(4 * len(sample) + 16 * width + 64, dtype=bool)
+    place, taken = [0] * len(go), set()
+    low = width
+    many = sorted((i for i, moves in enumerate(go) if len(moves) > 1), key=lambda i: -len(go[i]))
+    for i in many:
+        syms, at, found = np.array(sorted(go[i]), dtype=np.int64), low, -1
+        while found < 0:
+            if at + 512 + width > len(used):
+                used = np.concatenate((used, np.zeros(len(used), dtype=bool)))
+            free = at + np.flatnonzero(~used[at : at + 512])
+            fits = free[~used[(free - syms[0])[:, None] + syms].any(axis=1)] - syms[0]
+            found = next((b for b in fits.tolist() if b not in taken), -1)
+            at += 512
+        place[i] = found
+        taken.add(found)
+        used[found + syms] = True
+        # places that were tried in vain are left to the states of one transition
+        low = max(low, at - 1024)
+    few = [i for i, moves in enumerate(go) if len(moves) <= 1]
+    used = np.concatenate((used, np.zeros(2 * len(few) + 2 * width, dtype=bool)))
+    slots = iter((width + np.flatnonzero(~used[width:])).tolist())
+    again: list[int] = []  # slots that would have given another state's place
+    for i in few:
+        sym = next(iter(go[i]), 0)
+        k = next((k for k, f in enumerate(again[:8]) if f - sym not in taken), -1)
+        if k >= 0:
+            f = again.pop(k)
+        else:
+            while (f := next(slots)) - sym in taken:
+                again.append(f)
+        place[i] = f - sym
+        taken.add(f - sym)
+    state = np.array(place, dtype=np.int64)
+    table = np.full(int(state.max()) + width, -1, dtype=np.int64)
+    fresh = np.full(width, state[0] + base, dtype=np.int64)  # a symbol that the sample lacks ends the phrase at once
     for c, to in go[0].items():
-        root[c] = to
-    out = np.tile(root, (len(go), 1)) * 2 + 1
-    for i, moves in enumerate(go):
-        for c, to in moves.items():
-            out[i, c] = to * 2
-    return ((out >> 1) * width + base) * 2 + (out & 1)
+        fresh[c] = state[to] + base
+    owner = np.repeat(np.arange(len(go)), [len(m) for m in go])
+    syms = np.fromiter((c for m in go for c in m), dtype=np.int64, count=len(owner))
+    to = np.fromiter((t for m in go for t in m.values()), dtype=np.int64, count=len(owner))
+    table[state[owner] + syms] = (state[owner] + base) << 32 | (state[to] + base)
+    return table, fresh, int(state[0]) + base
 
 
 def fit(samples: list[tuple[str, str]]) -> Model:
@@ -158,28 +209,22 @@ def fit(samples: list[tuple[str, str]]) -> Model:
             by.setdefault(lang, []).append(clean)
     languages = sorted(by)
     seen = sorted({c for v in by.values() for t in v for c in t} - {" "})
-    lut = np.ones(0x10000, dtype=np.uint8)
-    for c in range(0x10000):
-        if chr(c).isalpha():
-            lut[c] = 0
-    common = sorted(seen, key=lambda c: -sum(t.count(c) for v in by.values() for t in v))[:126]
-    for i, c in enumerate(common):
-        if ord(c) < 0x10000:
-            lut[ord(c)] = i + 2
-    width = len(common) + 2
+    lut = np.where(_letters_of_unicode(), np.int32(0), np.int32(1))
+    lut[[ord(c) for c in seen]] = np.arange(len(seen), dtype=np.int32) + 2
+    width = len(seen) + 2
     train, held = {}, []
     for lang in languages:
         own = by[lang]
         held += own[4::5]
         train[lang] = " ".join(t for i, t in enumerate(own) if i % 5 != 4)[:SAMPLE_CHARS]
-    tables, roots, base = [], [], 0
+    tables, fresh, roots, base = [], [], [], 0
     for lang in languages:
-        sample = lut[np.minimum(codepoints(train[lang]), 0xFFFF)].tolist()
-        one = _table(sample, width, base)
-        tables.append(one.astype(np.int32).ravel())
-        roots.append(base)
-        base += one.size
-    model = Model(languages, lut, width, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, dtype=np.int64), np.log2([max(2, len(train[lang])) for lang in languages]) if languages else np.zeros(0), np.inf)
+        table, first, root = _table(lut[codepoints(train[lang])].tolist(), width, base)
+        tables.append(table)
+        fresh.append(first)
+        roots.append(root)
+        base += len(table)
+    model = Model(languages, lut, np.concatenate(tables) if tables else np.zeros(0, np.int64), np.array(fresh, dtype=np.int64), np.array(roots, dtype=np.int64), np.log2([max(2, len(train[lang])) for lang in languages]) if languages else np.zeros(0), np.inf)
     if languages:
         rng = np.random.default_rng(7)
         noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 400)) for _ in range(20)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from folioscan.llm import licenses
+import numpy as np
+
+from folioscan.llm import langid, licenses
 from folioscan.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +39,38 @@ def test_license_passages_by_brute_force():
 def test_license_passages_hold_all_that_the_scan_finds(spark):
     scanned = {(r["doc_id"], r["license"]) for r in QUERIES["op8_license_scan"](spark, SF).collect()}
     assert scanned <= {(r["doc_id"], r["license"]) for r in QUERIES["op8_license_passages"](spark, SF).collect()}
+
+
+def _written(rng, first: int, n_letters: int, words: int = 300):
+    """A writer of words of a made-up language with n_letters letters from first on, the common ones repeated."""
+    lexicon = ["".join(chr(first + int(c)) for c in rng.integers(0, n_letters, rng.integers(2, 5))) for _ in range(150)]
+    return lambda: " ".join(lexicon[i] for i in np.minimum(rng.zipf(1.4, words) - 1, 149))
+
+
+def test_every_letter_of_every_script_has_its_symbol():
+    rng = np.random.default_rng(4)
+    scripts = {"cyr": (0x430, 32), "han": (0x4E00, 900), "hangul": (0xAC00, 700), "lat": (97, 26), "past": (0x20000, 300)}
+    write = {lang: _written(rng, *v) for lang, v in scripts.items()}
+    model = langid.fit([(lang, w()) for lang, w in write.items() for _ in range(20)])
+    told = {lang: model.entropy([w() for _ in range(5)])[0] for lang, w in write.items()}
+    for lang, bits in told.items():
+        assert [model.languages[j] for j in bits.argmin(axis=1)] == [lang] * 5
+        assert (bits.min(axis=1) < 6).all()
+    seen = {c for w in write.values() for c in w() if c != " "}
+    assert all(model.symbols([c])[1][0] == 1 for c in seen)
+
+
+def test_the_table_parses_as_a_plain_search_does():
+    rng = np.random.default_rng(5)
+    write = _written(rng, 0x4E00, 40)
+    own = [write() for _ in range(4)]
+    sample = " ".join(own)
+    model = langid.fit([("x", t) for t in own])
+    text = write()[:900]
+    n, phrase = 1, ""
+    for c in text:
+        if phrase + c in sample:
+            phrase += c
+        else:
+            n, phrase = n + 1, c if c in sample else ""
+    assert model.phrases([text])[0][0, 0] == n
