@@ -15,7 +15,8 @@ every language.
 Defined results: null and empty texts, and texts without a letter, have lang_id
 'und' and are rejected; ties go to the language that comes first in the alphabet;
 texts under MIN_LETTERS letters are labelled but never rejected; a longer text is
-rejected if its lowest entropy passes the limit found from held-out samples.
+rejected if its lowest entropy passes the limit that held-out text of that language
+and about that length gives (see _limits()).
 With no labelled row at all every text is 'und' and nothing is rejected but texts
 without letters.
 """
@@ -34,8 +35,11 @@ from .common import batches, codepoints
 
 SAMPLE_DOCS, PIECE, SAMPLE_CHARS = 48, 1500, 24_000
 BLOCK, MIN_LETTERS = 1024, 40
-#: Besides the held-out mean and spread, the limit is never under this share of a parse of noise.
-NOISE_SHARE, SPREADS = 0.85, 8.0
+#: Held-out texts are scored in windows of these many letters; a limit needs LEAST windows. Longer
+#: texts have the last one's limit: they hold quotes, notices and lists, as the worst of its windows do.
+LENGTHS, LEAST = (40, 80), 8
+#: A limit lies so many spreads over the median; the spread is at least a share of the median.
+SPREADS, LEAST_SPREAD = 4.0, 0.05
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -91,7 +95,7 @@ class Model:
     fresh: np.ndarray  #: by language and symbol, the state that a new phrase begins with
     roots: np.ndarray
     bits: np.ndarray  #: log2 of each sample's length
-    limit: float
+    limits: np.ndarray  #: by language and length (LENGTHS), the entropy past which a text is rejected
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, spaces squeezed, and how many belong to each."""
@@ -202,7 +206,7 @@ def _table(sample: list[int], width: int, base: int) -> tuple[np.ndarray, np.nda
 
 
 def fit(samples: list[tuple[str, str]]) -> Model:
-    """samples: (language, text) rows. A fifth of each language's is held out for the limit."""
+    """samples: (language, text) rows. A fifth of each language's is held out for the limits."""
     by: dict[str, list[str]] = {}
     for lang, text in samples:
         if clean := letters(text):
@@ -212,11 +216,14 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     lut = np.where(_letters_of_unicode(), np.int32(0), np.int32(1))
     lut[[ord(c) for c in seen]] = np.arange(len(seen), dtype=np.int32) + 2
     width = len(seen) + 2
-    train, held = {}, []
+    train, held = {}, {}
     for lang in languages:
         own = by[lang]
-        held += own[4::5]
-        train[lang] = " ".join(t for i, t in enumerate(own) if i % 5 != 4)[:SAMPLE_CHARS]
+        kept = [t for i, t in enumerate(own) if i % 5 != 4]
+        train[lang] = " ".join(kept)[:SAMPLE_CHARS]
+        # what the sample has no room for is held out as well
+        room = np.cumsum([len(t) + 1 for t in kept]) - [len(t) + 1 for t in kept] < SAMPLE_CHARS
+        held[lang] = own[4::5] + [t for t, inside in zip(kept, room, strict=True) if not inside]
     tables, fresh, roots, base = [], [], [], 0
     for lang in languages:
         table, first, root = _table(lut[codepoints(train[lang])].tolist(), width, base)
@@ -224,17 +231,39 @@ def fit(samples: list[tuple[str, str]]) -> Model:
         fresh.append(first)
         roots.append(root)
         base += len(table)
-    model = Model(languages, lut, np.concatenate(tables) if tables else np.zeros(0, np.int64), np.array(fresh, dtype=np.int64), np.array(roots, dtype=np.int64), np.log2([max(2, len(train[lang])) for lang in languages]) if languages else np.zeros(0), np.inf)
+    model = Model(languages, lut, np.concatenate(tables) if tables else np.zeros(0, np.int64), np.array(fresh, dtype=np.int64), np.array(roots, dtype=np.int64), np.log2([max(2, len(train[lang])) for lang in languages]) if languages else np.zeros(0), np.full((len(languages), len(LENGTHS)), np.inf))
     if languages:
-        rng = np.random.default_rng(7)
-        noise = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 400)) for _ in range(20)]
-        floor = NOISE_SHARE * float(np.min(model.entropy(noise)[0], axis=1).mean())
-        bits, _, n = model.entropy(held) if held else (np.zeros((0, 1)), None, np.zeros(0))
-        own = bits.min(axis=1)[n >= MIN_LETTERS] if len(bits) else np.zeros(0)
-        model.limit = max(floor, float(own.mean() + SPREADS * own.std())) if len(own) else floor
+        model.limits = _limits(model, held)
     return model
 
 
+def _limits(model: Model, held: dict[str, list[str]]) -> np.ndarray:
+    """Shorter texts score higher and spread more, so each length has its own limit. Where a
+    language has too few windows of a length, the next shorter one's limit holds; where it has too
+    few at all, that of all languages together; without that, nothing is rejected.
+    """
+    out = np.full((len(model.languages), len(LENGTHS)), np.inf)
+
+    def limit(scores: np.ndarray) -> float:
+        # the spread over the median: copies of what the sample holds score low and widen nothing
+        mid = float(np.median(scores))
+        over = scores[scores > mid] - mid
+        return mid + SPREADS * max(LEAST_SPREAD * mid, float(np.sqrt(np.mean(over**2))) if len(over) else 0.0)
+
+    for i, n in enumerate(LENGTHS):
+        cut = [[t[at : at + n].strip() for t in held[lang] for at in range(0, len(t) - n + 1, n)] for lang in model.languages]
+        scores = [model.entropy(own)[0][:, j] if own else np.zeros(0) for j, own in enumerate(cut)]
+        every = np.concatenate(scores)
+        for j, own in enumerate(scores):
+            if len(own) >= LEAST:
+                out[j, i] = limit(own)
+            elif i:
+                out[j, i] = out[j, i - 1]
+            elif len(every) >= LEAST:
+                out[j, i] = limit(every)
+    return out
+
+
 def labelled(docs: DataFrame) -> list[tuple[str, str]]:
     """The bounded sample: per language the SAMPLE_DOCS lowest hashes of doc_id, a piece of each."""
     ids = docs.where("lang is not null and text is not null and doc_id is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
@@ -269,9 +298,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             if m.languages:
                 best = np.argmin(bits, axis=1)
                 low, count = bits[np.arange(len(texts)), best], n[np.arange(len(texts)), best]
+                most = m.limits[best, np.maximum(np.searchsorted(LENGTHS, counts, side="right") - 1, 0)]
             else:
                 best, low, count = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), int)
-            reject = (counts >= MIN_LETTERS) & (low > m.limit) | (counts == 0)
+                most = np.full(len(texts), np.inf)
+            reject = (counts >= MIN_LETTERS) & (low > most) | (counts == 0)
             best = np.where(reject | (not m.languages), len(m.languages), best)
             yield pa.record_batch([batch.column(0), pa.array(names[best], pa.string()), pa.array(count, pa.int64()), pa.array(counts, pa.int64()), pa.array(np.round(low, 6)), pa.array(~reject)], names=["doc_id", "lang_id", "phrases", "letters", "bits", "accepted"])
 

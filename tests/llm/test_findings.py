@@ -74,3 +74,29 @@ def test_the_table_parses_as_a_plain_search_does():
         else:
             n, phrase = n + 1, c if c in sample else ""
     assert model.phrases([text])[0][0, 0] == n
+
+
+UNLABELLED = {
+    "it": "Il governo ha annunciato ieri che le nuove regole entreranno in vigore dal prossimo mese, dopo una lunga discussione con i sindacati e le imprese della regione.",
+    "pt": "O governo anunciou ontem que as novas regras entram em vigor no próximo mês, depois de uma longa discussão com os sindicatos e as empresas da região.",
+    "nl": "De regering heeft gisteren aangekondigd dat de nieuwe regels volgende maand ingaan, na een lange discussie met de vakbonden en de bedrijven in de regio.",
+    "pl": "Rząd ogłosił wczoraj, że nowe przepisy wejdą w życie w przyszłym miesiącu, po długiej dyskusji ze związkami zawodowymi i firmami z regionu.",
+    "tr": "Hükümet dün yaptığı açıklamada yeni kuralların gelecek ay yürürlüğe gireceğini söyledi ve uzun tartışmalardan sonra karar verildi.",
+}
+
+
+def test_unlabelled_languages_are_rejected_and_held_out_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    samples = langid.labelled(docs)
+    model = langid.fit(samples)
+    foreign = spark.createDataFrame(list(enumerate(UNLABELLED.values())), "doc_id long, text string")
+    assert [(r["lang_id"], r["accepted"]) for r in langid.identify(foreign, model).collect()] == [("und", False)] * len(UNLABELLED)
+    pieces = {t for _, t in samples}
+    told = langid.identify(docs, model).join(docs.select("doc_id", "text"), "doc_id").where("letters >= 40").collect()
+    held = [r["accepted"] for r in told if not any(p in r["text"] for p in pieces)]
+    assert len(held) > 500 and np.mean(held) > 0.99
+
+
+def test_without_held_out_text_nothing_with_letters_is_rejected():
+    model = langid.fit([("en", "a few words only")])
+    assert np.isinf(model.limits).all()
