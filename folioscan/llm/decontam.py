@@ -18,9 +18,12 @@ The index of q-grams is broadcast in slices of at most SLICE_CHARS characters of
 items, one pass over the documents for each slice, so its size stays bounded
 however large the benchmark is.
 
-Defined results: null and empty texts match nothing; null items and items of
-under MIN_ITEM normalised characters are no evidence and are left out; items that
-repeat an item_id match apart and the best counts; of equally good places the
+Items of under MIN_ITEM normalised characters are found where they stand unchanged
+between word borders, by a hash of the characters between each two borders that
+lie as far apart.
+
+Defined results: null and empty texts match nothing; null items and items without
+a letter or digit are no evidence and are left out; items that repeat an item_id match apart and the best counts; of equally good places the
 first is told. One row for each pair of a document row's id and an item, with the
 least distance and where the match begins and ends in the normalised text.
 """
@@ -35,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, batches, codepoints, is_word, mix, without
+from .common import BASE, U64, batches, codepoints, is_word, mix, prefix_hash, span_hash, without
 
-RATE, MIN_ITEM, WINDOW, SLICE_CHARS = 0.05, 32, 64, 4_000_000
+RATE, MIN_ITEM, WINDOW, SLICE_CHARS = 0.1, 32, 64, 4_000_000
 #: Hits counted at a time (memory only).
 HITS = 100_000
 
@@ -95,15 +98,26 @@ class Index:
     k: np.ndarray | None = None
     need: np.ndarray | None = None
     by_q: dict[int, tuple] = field(default_factory=dict)
+    #: of short items, by length: sorted hashes and the items that have them
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
 def index_of(items: list[tuple[int, str]], rate: float = RATE) -> Index:
     out = Index()
     per: dict[int, list[tuple[np.ndarray, int]]] = {}
     ks, need = [], []
+    short: dict[int, list[tuple[int, int]]] = {}
     for i, text in items:
         codes = normalised([text or ""])[0][:-1]
+        if not len(codes):
+            continue
         if len(codes) < MIN_ITEM:
+            h = span_hash(prefix_hash(codes), np.array([0]), np.array([len(codes)]))[0]
+            short.setdefault(len(codes), []).append((int(h), len(out.items)))
+            out.items.append(codes)
+            out.ids.append(i)
+            ks.append(0)
+            need.append(1)
             continue
         k, q, t = plan(len(codes), rate)
         per.setdefault(q, []).append((grams(codes, q), len(out.items)))
@@ -112,6 +126,9 @@ def index_of(items: list[tuple[int, str]], rate: float = RATE) -> Index:
         ks.append(k)
         need.append(t)
     out.k, out.need = np.array(ks, dtype=np.int64), np.array(need, dtype=np.int64)
+    for m, own in short.items():
+        own.sort()
+        out.short[m] = (np.array([h for h, _ in own], dtype=U64), np.array([j for _, j in own], dtype=np.int64))
     for q, own in per.items():
         h = np.concatenate([g for g, _ in own])
         item = np.concatenate([np.full(len(g), j) for g, j in own])
@@ -177,10 +194,31 @@ def exact(item: np.ndarray, codes: np.ndarray, lo: np.ndarray, t0: np.ndarray, t
     return out
 
 
+def _short(index: Index, codes: np.ndarray, begin: np.ndarray, found: dict) -> None:
+    """The first place of each short item in each text, between word borders."""
+    if not index.short or not len(codes):
+        return
+    border = codes <= 1
+    starts = np.flatnonzero(~border & np.concatenate(([True], border[:-1])))
+    prefix = prefix_hash(codes)
+    for m, (key, item) in index.short.items():
+        at = starts[starts + m < len(codes)]
+        at = at[border[at + m]]
+        h = span_hash(prefix, at, at + m)
+        lo, hi = np.searchsorted(key, h, side="left"), np.searchsorted(key, h, side="right")
+        for x, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            row = int(np.searchsorted(begin, x, side="right")) - 1
+            for j in item[a:b].tolist():
+                if (row, j) not in found and np.array_equal(codes[x : x + m], index.items[j]):
+                    place = x - int(begin[row])
+                    found[row, j] = (0, place, place + m)
+
+
 def search(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(row, item, distance, begin, end) for all matches, the best of each row and item."""
     codes, begin = normalised(texts)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    _short(index, codes, begin, found)
     for q, (key, first, item, pos, maybe, least) in index.by_q.items():
         if len(codes) < q:
             continue

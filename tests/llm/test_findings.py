@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from folioscan.llm import langid, licenses
+from folioscan.llm import decontam, langid, licenses
 from folioscan.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,51 @@ def test_unlabelled_languages_are_rejected_and_held_out_documents_stay(spark):
 def test_without_held_out_text_nothing_with_letters_is_rejected():
     model = langid.fit([("en", "a few words only")])
     assert np.isinf(model.limits).all()
+
+
+def test_edited_passages_and_short_items_are_found(spark):
+    item = "the quick brown fox jumps over the lazy dog and then it sleeps under the ancient tree until the morning light"
+    edited = item.replace("ancient", "withered")
+    cropped = item[: int(len(item) * 0.93)]
+    texts = [f"before {edited} after", f"before {cropped}", "So: What is TWO plus two? Four.", "somewhat is two plus twofold", f"x {item.replace('quick brown', 'slow grey').replace('lazy dog', 'tall cat')} y", "what is two plus two\nand what is two plus two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "What is two plus two?"), (3, "?!"), (4, "What is two plus two"), (5, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["stop"]) for r in decontam.matches(docs, bench).collect()}
+    assert sorted(got) == [(0, 1), (1, 1), (2, 2), (2, 4), (5, 2), (5, 4)]
+    assert got[2, 2] == (0, 3, 23) and got[5, 4] == (0, 0, 20)
+    assert 5 < got[0, 1][0] <= len(item) // 10
+
+
+def test_decontamination_against_plain_edit_distance():
+    """Every pair that approximate matching by dynamic programming finds, and no other."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(60)]
+    items = [(j, " ".join(rng.choice(words, n))) for j, n in enumerate((7, 9, 12, 25, 40, 2, 3))]
+    texts = []
+    for _, item in items * 3:
+        chars = list(item)
+        for _ in range(int(rng.integers(0, max(1, len(chars) // 6)))):
+            at = int(rng.integers(0, len(chars)))
+            chars[at : at + 1] = [[], ["z"], [chars[at], "q"]][rng.integers(0, 3)]
+        texts.append(" ".join(rng.choice(words, 30)) + " " + "".join(chars) + " " + " ".join(rng.choice(words, 30)))
+
+    def least(item: str, text: str) -> int:
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item):
+            new = [i + 1]
+            for j, d in enumerate(text):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    plain = [" ".join(t.split()) for t in texts]
+    wanted = {}
+    for r, text in enumerate(plain):
+        for j, item in items:
+            if len(item) < decontam.MIN_ITEM:
+                if f" {item} " in f" {text} ":
+                    wanted[r, j] = 0
+            elif (d := least(item, text)) <= int(decontam.RATE * len(item)):
+                wanted[r, j] = d
+    index = decontam.index_of(items)
+    assert {(r, index.ids[j]): d for r, j, d, _, _ in decontam.search(index, texts)} == wanted and len(wanted) > 10
