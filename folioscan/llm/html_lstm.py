@@ -8,7 +8,7 @@ logistic layer labels each block as content or not from both directions' states,
 so every decision sees the whole page. Pages of similar length run together.
 
 The model is trained here, on the FIT_PAGES pages with the lowest hash of their
-page_id (a documented bound), against labels that pages with explicit regions
+page_id among those with explicit regions (a documented bound), against labels that pages with explicit regions
 give: blocks under article or main are content, blocks under nav, footer, aside,
 header or an element of class ad are not, others on such a page are not either.
 In training, region tags are hidden on half of the pages, so that the model also
@@ -270,8 +270,26 @@ def classify(model: Model, parsed: list[list]) -> list[np.ndarray]:
     return out
 
 
+def regioned(page: str) -> bool:
+    """Whether some block of the page lies under a region tag."""
+    return any(t in REGIONS for path, *_ in blocks(page) for t in path)
+
+
 def sample(pages: DataFrame) -> list[str]:
-    rows = pages.where("html is not null").select("html", F.xxhash64("page_id").alias("h"), F.md5("html").alias("m")).orderBy("h", "m").limit(FIT_PAGES).collect()
+    """The FIT_PAGES pages with the lowest hash among those that have regions."""
+    # every page with regions has such a tag; that blocks lie under it is told by parsing
+    maybe = pages.where(F.col("html").rlike(r"(?i)<(article|main|nav|footer|aside|header)|class\s*="))
+    keyed = maybe.select("html", F.xxhash64("page_id").alias("h"), F.md5("html").alias("m"))
+    rows = [r["html"] for r in keyed.orderBy("h", "m").limit(FIT_PAGES).collect()]
+    if len(rows) < FIT_PAGES or all(map(regioned, rows)):
+        return [p for p in rows if regioned(p)]
+
+    def keep(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            yield batch.filter(pa.array([regioned(p) for p in batch.column(0).to_pylist()], pa.bool_()))
+
+    batches(pages.sparkSession, 500)
+    rows = keyed.mapInArrow(keep, keyed.schema).orderBy("h", "m").limit(FIT_PAGES).collect()
     return [r["html"] for r in rows]
 
 

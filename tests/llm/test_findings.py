@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from folioscan.llm import decontam, langid, licenses
+from folioscan.llm import decontam, html_lstm, langid, licenses
 from folioscan.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -148,3 +148,11 @@ def test_decontamination_against_plain_edit_distance():
                 wanted[r, j] = d
     index = decontam.index_of(items)
     assert {(r, index.ids[j]): d for r, j, d, _, _ in decontam.search(index, texts)} == wanted and len(wanted) > 10
+
+
+def test_the_html_model_is_fitted_on_pages_with_regions(spark):
+    bare = '<html><body><div class="box"><p>Some words of page {}.</p></div></body></html>'
+    full = "<html><body><nav><p>Menu {}</p></nav><article><p>Some words of page {}.</p></article></body></html>"
+    rows = [(i, full.format(i, i) if i % 10 == 0 else bare.format(i)) for i in range(1000)] + [(2000, None), (2001, "")]
+    got = html_lstm.sample(spark.createDataFrame(rows, "page_id long, html string"))
+    assert sorted(got) == sorted(h for i, h in rows if h and i % 10 == 0)
