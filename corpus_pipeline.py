@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscan.llm import decontam, exact_dedup, langid, minhash, spm
-from folioscan.llm.common import shared_dir, table
+from folioscan.llm.common import remove, scoped, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +44,19 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: MinHash groups, the language model and the segmentation can't be said in SQL; the tests hold run() against brute force.
+#: MinHash groups, the language model and the segmentation can't be said in SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are written before the next one begins; what a stage broadcast and what it read then go."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        with scoped():
+            stage(spark, docs, sf_dir).write.parquet(at)
+        if before:
+            remove(before)
+        docs, before = spark.read.parquet(at), at
     return docs

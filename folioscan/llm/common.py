@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -17,9 +23,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows per Arrow batch: Python workers then hold a few MB of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch at most; Spark bounds its bytes besides (spark.sql.execution.arrow.maxBytesPerBatch).
+BATCH_ROWS = 1000
+#: Characters that a Python worker works on at a time.
+CHARS = 500_000
+
+
+def batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, the same for all operators; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def spans_of(texts: list[str | None], chars: int = CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about chars characters together; a longer text is a range of its own."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > at and size + n > chars:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def portions(batch: pa.RecordBatch, column: int = 1, size: int = CHARS) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about size bytes of the column each; a longer value has a slice of its own."""
+    n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    at = held = 0
+    for i, own in enumerate(n):
+        if i > at and held + own > size:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += own
+    if at < len(n):
+        yield batch.slice(at)
+
+
+_SCOPES: list[list[Broadcast]] = []
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a value of bounded size; the innermost scoped() destroys it at its end."""
+    out = spark.sparkContext.broadcast(value)
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
+@contextmanager
+def scoped() -> Iterator[None]:
+    """Around building and writing a frame: what it broadcast goes from driver and executors at the end."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for b in _SCOPES.pop():
+            b.destroy()
+
+
+def filtered(docs: DataFrame, keep: Callable[[pa.RecordBatch, int], np.ndarray], column: str = "text") -> DataFrame:
+    """The rows of docs for which keep(batch, place of column) is true; columns as they were, no exchange.
+
+    Each row is decided by itself, whatever its other columns hold.
+    """
+    place = [c.lower() for c in docs.columns].index(column)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            if len(batch):
+                yield batch.filter(pa.array(keep(batch, place), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+
+
+def remove(folder: str) -> None:
+    """Delete a folder of ours; one that is gone already is fine."""
+    fs, root = filesystem(folder)
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        fs.delete_dir(root)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,10 +172,6 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(few, docs["doc_id"] == F.col(name), "left_anti")
 
 
-def text_of(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 # ---------------------------------------------------------------- numpy text
 
 

@@ -23,9 +23,11 @@ between word borders, by a hash of the characters between each two borders that
 lie as far apart.
 
 Defined results: null and empty texts match nothing; null items and items without
-a letter or digit are no evidence and are left out; items that repeat an item_id match apart and the best counts; of equally good places the
-first is told. One row for each pair of a document row's id and an item, with the
-least distance and where the match begins and ends in the normalised text.
+a letter or digit are no evidence and are left out; items that repeat an item_id
+match apart and the best counts; of equally good places the first is told; an empty
+benchmark matches nothing. One row for each pair of a document row and an item_id, with the
+least distance and where the match begins and ends in the normalised text. Filtering
+(keep_clean) decides every row by its own text, whether its id is null or repeats.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, batches, codepoints, is_word, mix, prefix_hash, span_hash, without
+from .common import BASE, U64, batches, codepoints, cut, filtered, is_word, mix, portions, prefix_hash, scoped, share, span_hash
 
 RATE, MIN_ITEM, WINDOW, SLICE_CHARS = 0.1, 32, 64, 4_000_000
 #: Hits counted at a time (memory only).
@@ -316,25 +318,51 @@ def matches(docs: DataFrame, bench: DataFrame, rate: float = RATE) -> DataFrame:
     batches(spark)
     out = None
     for held in _slices(bench):
-        shared = spark.sparkContext.broadcast(index_of(held, rate))
+        shared = share(spark, index_of(held, rate))
 
         def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in rows:
-                ids = batch.column(0).to_pylist()
-                got = search(index, [t or "" for t in batch.column(1).to_pylist()]) if ids else []
-                best: dict[tuple, tuple] = {}
-                for r, j, c, b, e in got:
-                    key = (r, index.ids[j])
-                    best[key] = min(best.get(key, (1 << 30, 0, 0)), (c, b, e))
-                if best:
-                    yield pa.record_batch([pa.array([ids[r] for r, _ in best], pa.int64()), pa.array([i for _, i in best], pa.int64()), *(pa.array([v[n] for v in best.values()], t) for n, t in enumerate((pa.int32(), pa.int64(), pa.int64())))], names=["doc_id", "item_id", "distance", "start", "stop"])
+                for part in portions(batch):
+                    ids = part.column(0).to_pylist()
+                    best: dict[tuple, tuple] = {}
+                    for r, j, c, b, e in search(index, [t or "" for t in part.column(1).to_pylist()]):
+                        key = (r, index.ids[j])
+                        best[key] = min(best.get(key, (1 << 30, 0, 0)), (c, b, e))
+                    if best:
+                        yield pa.record_batch([pa.array([ids[r] for r, _ in best], pa.int64()), pa.array([i for _, i in best], pa.int64()), *(pa.array([v[n] for v in best.values()], t) for n, t in enumerate((pa.int32(), pa.int64(), pa.int64())))], names=["doc_id", "item_id", "distance", "start", "stop"])
 
         own = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """docs without those in which an item was found; rows with a null id stay."""
-    return without(docs, matches(docs, bench).select("doc_id").distinct())
+def keep_clean(docs: DataFrame, bench: DataFrame, rate: float = RATE) -> DataFrame:
+    """docs without the rows in which an item was found, each decided by its own text; columns as they were.
+
+    A benchmark of several slices goes through one after the other, each on what the
+    slice before it kept, written in between.
+    """
+    spark = docs.sparkSession
+    batches(spark)
+    before = None
+    for held in _slices(bench):
+        if before is not None:
+            with scoped():
+                docs = cut(_without(docs, before))
+        before = index_of(held, rate)
+    return _without(docs, before)
+
+
+def _without(docs: DataFrame, index: Index) -> DataFrame:
+    shared = share(docs.sparkSession, index)
+
+    def keep(batch: pa.RecordBatch, place: int) -> np.ndarray:
+        out, at = np.ones(len(batch), dtype=bool), 0
+        for part in portions(batch, place):
+            found = search(shared.value, [t or "" for t in part.column(place).to_pylist()])
+            out[[at + r for r, *_ in found]] = False
+            at += len(part)
+        return out
+
+    return filtered(docs, keep)

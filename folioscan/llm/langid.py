@@ -8,17 +8,19 @@ with the lowest wins. Every letter of the samples has a symbol of its own, whate
 the script. The automata are laid out as one table in which the transitions of
 states lie between one another, and all blocks of a batch take each step together.
 
-Whole texts are parsed. A text is cut into blocks of BLOCK letters, at each of
-whose ends a phrase ends too; this adds under one phrase a block, alike for
-every language.
+Whole texts are parsed, as one parse from end to end. For speed the parse begins at
+every BLOCK letters at once; a parse that comes from the block before goes on until
+it begins a phrase where the block's own parse does, as from there on the two are
+the same, and what the block's own parse found before that place doesn't count. So
+the result doesn't depend on BLOCK.
 
 Defined results: null and empty texts, and texts without a letter, have lang_id
 'und' and are rejected; ties go to the language that comes first in the alphabet;
-texts under MIN_LETTERS letters are labelled but never rejected; a longer text is
-rejected if its lowest entropy passes the limit that held-out text of that language
-and about that length gives (see _limits()).
-With no labelled row at all every text is 'und' and nothing is rejected but texts
-without letters.
+a text is rejected if its lowest entropy passes the limit that held-out text of that
+language and about that length gives (see _limits()).
+With no labelled row at all, or without a column lang, every text is 'und' and
+nothing is rejected but texts without letters. Every row is decided by its own text,
+whether its id is null or repeats.
 """
 
 from __future__ import annotations
@@ -31,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, codepoints
+from .common import CHARS, batches, codepoints, filtered, portions, share
 
 SAMPLE_DOCS, PIECE, SAMPLE_CHARS = 48, 1500, 24_000
-BLOCK, MIN_LETTERS = 1024, 40
+#: Letters from one beginning to the next (speed only).
+BLOCK = 1024
+#: Languages parsed side by side (memory only).
+TOGETHER = 16
 #: Held-out texts are scored in windows of these many letters; a limit needs LEAST windows. Longer
 #: texts have the last one's limit: they hold quotes, notices and lists, as the worst of its windows do.
-LENGTHS, LEAST = (40, 80), 8
+LENGTHS, LEAST = (1, 2, 3, 5, 10, 20, 40, 80), 8
 #: A limit lies so many spreads over the median; the spread is at least a share of the median.
 SPREADS, LEAST_SPREAD = 4.0, 0.05
 
@@ -130,25 +135,74 @@ class Model:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         starts = (np.cumsum(counts) - counts)[owner] + nth * BLOCK
         sizes = np.minimum(counts[owner] - nth * BLOCK, BLOCK)
-        order = np.argsort(-sizes, kind="stable")
-        starts, sizes, owner = starts[order], sizes[order], owner[order]
-        active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        count = np.ones((k, len(owner)), dtype=np.int32)
-        table = self.table
-        for step in range(int(sizes[0])):
-            n = active[step]
-            s = sym[starts[:n] + step]
-            for j in range(k):
-                own = state[j, :n]
-                v = table.take(own + s)
-                ends = v >> 32 != own
-                count[j, :n] += ends
-                state[j, :n] = np.where(ends, self.fresh[j].take(s), v & 0xFFFFFFFF)
-        for j in range(k):
-            out[:, j] = np.bincount(owner, weights=count[j], minlength=len(texts)).astype(np.int64)
+        for j in range(0, k, TOGETHER):
+            out[:, j : j + TOGETHER] = self._parse(np.arange(j, min(j + TOGETHER, k)), sym, owner, starts, sizes, len(texts))
         return out, counts
 
+    def _parse(self, langs: np.ndarray, sym: np.ndarray, owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray, n_texts: int) -> np.ndarray:
+        """Phrases by text and language of langs."""
+        table, fresh, n, k = self.table, self.fresh[langs].ravel(), len(starts), len(langs)
+        rows = (np.arange(k) * self.fresh.shape[1])[:, None]
+        order = np.argsort(-sizes, kind="stable")
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        active = np.searchsorted(-sizes[order], -np.arange(sizes[order[0]]), side="left")
+        first, state = starts[order], np.repeat(self.roots[langs][:, None], n, axis=1)
+        count, begun = np.zeros((k, n), dtype=np.int64), []  # begun: by step, which blocks' parses begin a phrase there
+        for step, m in enumerate(active.tolist()):
+            s = sym[first[:m] + step]
+            own = state[:, :m]
+            v = table.take(own + s)
+            ends = v >> 32 != own
+            state[:, :m] = np.where(ends, fresh.take(rows + s), v & 0xFFFFFFFF)
+            if not step:
+                ends[:] = True
+            count[:, :m] += ends
+            begun.append(ends)
+        state, count = state[:, place], count[:, place]
+        # every block's parse goes on into the next block of its text until the two meet
+        has_next = np.flatnonzero(owner[1:] == owner[:-1])
+        lang, block = np.repeat(np.arange(k), len(has_next)), np.tile(has_next, k)
+        live, own = np.arange(len(block)), state[lang, block]
+        extra, before, met = np.zeros(len(block), dtype=np.int64), np.zeros(len(block), dtype=np.int64), np.zeros(len(block), dtype=bool)
+        for step in range(len(begun)):
+            inside = step < sizes[block[live] + 1]
+            if not inside.all():
+                live, own = live[inside], own[inside]
+            if not len(live):
+                break
+            j, b = lang[live], block[live] + 1
+            s = sym[starts[b] + step]
+            v = table.take(own + s)
+            ends, theirs = v >> 32 != own, begun[step][j, place[b]]
+            same = ends & theirs
+            extra[live] += ends & ~same
+            before[live] += theirs & ~same
+            met[live] = same
+            go = ~same
+            live, own = live[go], np.where(ends, fresh.take(rows[j, 0] + s), v & 0xFFFFFFFF)[go]
+        count[lang, block] += extra
+        count[lang, block + 1] -= before
+        total = np.zeros((n_texts, k), dtype=np.int64)
+        np.add.at(total, owner, count.T)
+        # where they don't meet within a block, the text is parsed again from end to end
+        for j, text in {(int(lang[r]), int(owner[block[r]])) for r in np.flatnonzero(~met)}:
+            blocks = np.flatnonzero(owner == text)
+            total[text, j] = self._plain(langs[j], sym[starts[blocks[0]] : starts[blocks[-1]] + sizes[blocks[-1]]].tolist())
+        return total
+
+    def _plain(self, j: int, sym: list[int]) -> int:
+        """A phrase begins with the first symbol and where no transition is left."""
+        state, n, fresh, table = int(self.roots[j]), 0, self.fresh[j].tolist(), self.table
+        for i, s in enumerate(sym):
+            v = int(table[state + s])
+            n += not i or v >> 32 != state
+            if v >> 32 != state:
+                state = fresh[s]
+            else:
+                state = v & 0xFFFFFFFF
+        return n
+
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, counts = self.phrases(texts)
         return n * self.bits[None, :] / np.maximum(counts, 1)[:, None], n, counts
@@ -266,6 +320,8 @@ def _limits(model: Model, held: dict[str, list[str]]) -> np.ndarray:
 
 def labelled(docs: DataFrame) -> list[tuple[str, str]]:
     """The bounded sample: per language the SAMPLE_DOCS lowest hashes of doc_id, a piece of each."""
+    if "lang" not in {c.lower() for c in docs.columns}:
+        return []
     ids = docs.where("lang is not null and text is not null and doc_id is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     few = ids.withColumn("n", nth).where(F.col("n") <= SAMPLE_DOCS).select(F.col("doc_id").alias("i"), "h", "n").collect()
@@ -281,47 +337,44 @@ def labelled(docs: DataFrame) -> list[tuple[str, str]]:
 SCHEMA = "doc_id long, lang_id string, phrases long, letters long, bits double, accepted boolean"
 
 
+def _told(m: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Language (its place, or that of 'und'), phrases, letters, bits and whether the text is accepted."""
+    bits, n, counts = m.entropy(texts)
+    if m.languages:
+        best = np.argmin(bits, axis=1)
+        low, count = bits[np.arange(len(texts)), best], n[np.arange(len(texts)), best]
+        most = m.limits[best, np.maximum(np.searchsorted(LENGTHS, counts, side="right") - 1, 0)]
+    else:
+        best, low, count = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), int)
+        most = np.full(len(texts), np.inf)
+    reject = (low > most) | (counts == 0)
+    return np.where(reject | (not m.languages), len(m.languages), best), count, counts, low, ~reject
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, lang_id, phrases, letters, bits (entropy a letter) and accepted, a row for each row of docs."""
     spark: SparkSession = docs.sparkSession
     batches(spark)
-    shared = spark.sparkContext.broadcast(model or fit(labelled(docs)))
+    shared = share(spark, model or fit(labelled(docs)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in rows:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if not texts:
-                continue
-            bits, n, counts = m.entropy(texts)
-            if m.languages:
-                best = np.argmin(bits, axis=1)
-                low, count = bits[np.arange(len(texts)), best], n[np.arange(len(texts)), best]
-                most = m.limits[best, np.maximum(np.searchsorted(LENGTHS, counts, side="right") - 1, 0)]
-            else:
-                best, low, count = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), int)
-                most = np.full(len(texts), np.inf)
-            reject = (counts >= MIN_LETTERS) & (low > most) | (counts == 0)
-            best = np.where(reject | (not m.languages), len(m.languages), best)
-            yield pa.record_batch([batch.column(0), pa.array(names[best], pa.string()), pa.array(count, pa.int64()), pa.array(counts, pa.int64()), pa.array(np.round(low, 6)), pa.array(~reject)], names=["doc_id", "lang_id", "phrases", "letters", "bits", "accepted"])
+            for part in portions(batch, 1, 2 * CHARS):
+                best, count, letters_, low, fine = _told(m, [t or "" for t in part.column(1).to_pylist()])
+                yield pa.record_batch([part.column(0), pa.array(names[best], pa.string()), pa.array(count, pa.int64()), pa.array(letters_, pa.int64()), pa.array(np.round(low, 6)), pa.array(fine)], names=["doc_id", "lang_id", "phrases", "letters", "bits", "accepted"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those rejected; columns as they were."""
-    own = F.col("doc_id").isNotNull()
-    told = identify(docs)
-    from .common import without
-
-    # Rows whose id is null can't be joined by it; they are decided by their text alone.
-    nameless = docs.where(~own)
-    gone = told.where("not accepted and doc_id is not null").select("doc_id").distinct()
-    kept = without(docs.where(own), gone)
-    return kept.unionByName(_nameless(nameless))
+def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """docs without the rows rejected, each decided by its own text; columns as they were."""
+    spark = docs.sparkSession
+    batches(spark)
+    shared = share(spark, model or fit(labelled(docs)))
 
+    def keep(batch: pa.RecordBatch, place: int) -> np.ndarray:
+        return np.concatenate([_told(shared.value, [t or "" for t in part.column(place).to_pylist()])[4] for part in portions(batch, place, 2 * CHARS)])
 
-def _nameless(docs: DataFrame) -> DataFrame:
-    """Rows without an id stay where their text has a letter."""
-    return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return filtered(docs, keep)
