@@ -8,16 +8,19 @@ logistic layer labels each block as content or not from both directions' states,
 so every decision sees the whole page. Pages of similar length run together.
 
 The model is trained here, on the FIT_PAGES pages with the lowest hash of their
-page_id among those with explicit regions (a documented bound), against labels that pages with explicit regions
-give: blocks under article or main are content, blocks under nav, footer, aside,
-header or an element of class ad are not, others on such a page are not either.
-In training, region tags are hidden on half of the pages, so that the model also
-labels pages without them.
+page_id among those with explicit regions (a documented bound; of equal pages one
+counts), against labels that pages with explicit regions give: blocks under article
+or main are content, blocks under nav, footer, aside, header or an element of class
+ad are not, others on such a page are not either. In training, region tags are
+hidden on half of the pages, so that the model also labels pages without them. All
+blocks of these pages are learnt from; a page of over SEQUENCE blocks is several
+training sequences. A table in which no page has regions is labelled by a model
+trained on pages made up here (made_up()).
 
 Defined results: null and empty pages have no block and an empty text; a page of
 which no block is labelled content has an empty text; malformed markup is read as
 far as it can be, an unclosed tag lasts until its parent closes; the longest of
-pages are read whole.
+pages are read whole; rows that repeat are labelled each.
 """
 
 from __future__ import annotations
@@ -33,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, grouped_words
+from .common import CHARS, U64, batches, grouped_words, portions, share
 
 TAGS, WORDS, FIGURES, HIDDEN = 64, 128, 6, 24
-FIT_PAGES, EPOCHS, FIT_BLOCKS = 240, 6, 400
+FIT_PAGES, EPOCHS, SEQUENCE = 240, 6, 400
 REGIONS = {"article", "main", "nav", "footer", "aside", "header", "div.ad"}
 CONTENT, BOILER = {"article", "main"}, {"nav", "footer", "aside", "header", "div.ad"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "track"}
@@ -101,9 +104,11 @@ def label(path: tuple[str, ...]) -> int:
     return 0
 
 
-def features(pages: list[list[tuple[tuple[str, ...], str, int]]], hide: np.ndarray | None = None) -> np.ndarray:
-    """A row for each block of all pages. hide: pages whose region tags are left out."""
-    flat = [(k, i, len(p), b) for k, p in enumerate(pages) for i, b in enumerate(p)]
+def features(pages: list[list[tuple[tuple[str, ...], str, int]]], hide: np.ndarray | None = None, within: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """A row for each block of all pages. hide: pages whose region tags are left out. within: where
+    the blocks begin in their page, and its length, if they are parts of pages.
+    """
+    flat = [(k, i + (within[k][0] if within else 0), within[k][1] if within else len(p), b) for k, p in enumerate(pages) for i, b in enumerate(p)]
     x = np.zeros((len(flat), TAGS + WORDS + FIGURES), dtype=np.float32)
     if not flat:
         return x
@@ -222,31 +227,43 @@ def _padded(x: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
+def made_up(n: int = 60, seed: int = 3) -> list[str]:
+    """Pages with regions, of made-up words: what a table without any region is labelled after."""
+    rng = np.random.default_rng(seed)
+    lexicon = ["".join(rng.choice(list("abdegiklmnoprstuv"), rng.integers(2, 9))) for _ in range(400)]
+    say = lambda lo, hi: " ".join(lexicon[i] for i in rng.integers(0, 400, rng.integers(lo, hi)))
+    menu = lambda: "<ul>" + "".join(f'<li><a href="/{i}">{say(1, 3)}</a></li>' for i in range(rng.integers(3, 9))) + "</ul>"
+    body = lambda: "".join(f"<h2>{say(2, 5)}</h2>" if rng.random() < 0.2 else f"<p>{say(12, 60)}. {say(8, 30)}.</p>" for _ in range(rng.integers(2, 12)))
+    return [
+        f"<html><body><header><p>{say(1, 4)}</p></header><nav>{menu()}</nav><div><main><h1>{say(3, 7)}</h1>{body()}</main>"
+        f'<aside>{menu()}</aside><div class="ad"><p>{say(2, 6)}</p></div></div><footer><p>{say(2, 8)}</p>{menu()}</footer></body></html>'
+        for _ in range(n)
+    ]
+
+
 def fit(pages: list[str], epochs: int = EPOCHS) -> Model:
-    """Adam over pages with explicit regions; without any, the untrained model keeps every block."""
-    model, parsed = Model.new(), []
-    for p in pages:
-        own = blocks(p)
-        if own and any(t in REGIONS for path, *_ in own for t in path):
-            parsed.append(own[:FIT_BLOCKS])
-    if not parsed:
-        model.wo[:] = 0
-        model.wo[-1] = 1
-        return model
+    """Adam over the pages' sequences of blocks; pages without regions teach nothing."""
+    model = Model.new()
+    taught = [own for p in pages if (own := blocks(p)) and any(t in REGIONS for path, *_ in own for t in path)]
+    if not taught:
+        taught = [blocks(p) for p in made_up()]
     rng, moment, square, step = np.random.default_rng(11), [np.zeros_like(a) for a in model.arrays()], [np.zeros_like(a) for a in model.arrays()], 0
-    parsed.sort(key=len)
-    groups = [parsed[i : i + 16] for i in range(0, len(parsed), 16)]
+    # (page, first block): what is learnt from at once
+    parts = sorted(((k, at) for k, p in enumerate(taught) for at in range(0, len(p), SEQUENCE)), key=lambda x: min(SEQUENCE, len(taught[x[0]]) - x[1]))
+    groups = [parts[i : i + 16] for i in range(0, len(parts), 16)]
     for _ in range(epochs):
-        for k in rng.permutation(len(groups)):
-            group = groups[k]
-            x, mask = _padded(features(group, rng.random(len(group)) < 0.5), [len(p) for p in group])
+        for g in rng.permutation(len(groups)):
+            group = groups[g]
+            own = [taught[k][at : at + SEQUENCE] for k, at in group]
+            sizes = [len(p) for p in own]
+            x, mask = _padded(features(own, rng.random(len(group)) < 0.5, [(at, len(taught[k])) for k, at in group]), sizes)
             y = np.zeros_like(mask)
-            for j, p in enumerate(group):
+            for j, p in enumerate(own):
                 y[: len(p), j] = [label(path) for path, *_ in p]
             step += 1
-            for a, g, m, v in zip(model.arrays(), model.gradient(x, mask, y), moment, square, strict=True):
-                m += 0.1 * (np.clip(g, -1, 1) - m)
-                v += 0.001 * (np.clip(g, -1, 1) ** 2 - v)
+            for a, d, m, v in zip(model.arrays(), model.gradient(x, mask, y), moment, square, strict=True):
+                m += 0.1 * (np.clip(d, -1, 1) - m)
+                v += 0.001 * (np.clip(d, -1, 1) ** 2 - v)
                 a -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return model
 
@@ -276,21 +293,31 @@ def regioned(page: str) -> bool:
 
 
 def sample(pages: DataFrame) -> list[str]:
-    """The FIT_PAGES pages with the lowest hash among those that have regions."""
+    """The FIT_PAGES pages with the lowest hash among those that have regions. Which they are is told
+    by hashes; pages themselves come to the driver once that is known.
+    """
     # every page with regions has such a tag; that blocks lie under it is told by parsing
     maybe = pages.where(F.col("html").rlike(r"(?i)<(article|main|nav|footer|aside|header)|class\s*="))
     keyed = maybe.select("html", F.xxhash64("page_id").alias("h"), F.md5("html").alias("m"))
-    rows = [r["html"] for r in keyed.orderBy("h", "m").limit(FIT_PAGES).collect()]
+
+    def fetched(slim: DataFrame) -> list[str]:
+        few = [(r["h"], r["m"]) for r in slim.select("h", "m").distinct().orderBy("h", "m").limit(FIT_PAGES).collect()]
+        if not few:
+            return []
+        one = keyed.where(F.col("h").isin([h for h, _ in few])).where(F.col("m").isin([m for _, m in few])).groupBy("h", "m").agg(F.min("html").alias("html"))
+        got = {(r["h"], r["m"]): r["html"] for r in one.collect()}
+        return [got[k] for k in few]
+
+    rows = fetched(keyed)
     if len(rows) < FIT_PAGES or all(map(regioned, rows)):
         return [p for p in rows if regioned(p)]
 
     def keep(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            yield batch.filter(pa.array([regioned(p) for p in batch.column(0).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([regioned(p) for p in batch.column(0).to_pylist()], pa.bool_())).select(["h", "m"])
 
-    batches(pages.sparkSession, 500)
-    rows = keyed.mapInArrow(keep, keyed.schema).orderBy("h", "m").limit(FIT_PAGES).collect()
-    return [r["html"] for r in rows]
+    batches(pages.sparkSession)
+    return fetched(keyed.mapInArrow(keep, "h long, m string"))
 
 
 SCHEMA = "page_id long, text string, n_blocks int, n_content int"
@@ -299,16 +326,15 @@ SCHEMA = "page_id long, text string, n_blocks int, n_content int"
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, text (content blocks, one a line), n_blocks and n_content, a row for each row of pages."""
     spark = pages.sparkSession
-    batches(spark, 500)
-    shared = spark.sparkContext.broadcast(model or fit(sample(pages)))
+    batches(spark)
+    shared = share(spark, model or fit(sample(pages)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            parsed = [blocks(h or "") for h in batch.column(1).to_pylist()]
-            if not parsed:
-                continue
-            keep = classify(shared.value, parsed)
-            text = ["\n".join(b[1] for b, k in zip(p, ks, strict=True) if k) for p, ks in zip(parsed, keep, strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(text), pa.array([len(p) for p in parsed], pa.int32()), pa.array([int(k.sum()) for k in keep], pa.int32())], names=["page_id", "text", "n_blocks", "n_content"])
+            for part in portions(batch, 1, 2 * CHARS):
+                parsed = [blocks(h or "") for h in part.column(1).to_pylist()]
+                keep = classify(shared.value, parsed)
+                text = ["\n".join(b[1] for b, k in zip(p, ks, strict=True) if k) for p, ks in zip(parsed, keep, strict=True)]
+                yield pa.record_batch([part.column(0), pa.array(text, pa.string()), pa.array([len(p) for p in parsed], pa.int32()), pa.array([int(k.sum()) for k in keep], pa.int32())], names=["page_id", "text", "n_blocks", "n_content"])
 
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, SCHEMA)
