@@ -8,9 +8,16 @@ give or take TOLERANCE of a shard, or until the bracket holds one key alone,
 which can't be split. Then the documents are exchanged once, by their shard's
 number, and sorted within it.
 
+The number of shards is that of SHARD_BYTES in the table, so a shard's size doesn't
+grow with the table. A round has PROBES probes for an open splitter, fewer (one at
+least) where that makes over MOST_PROBES: what is broadcast and what comes back stay
+within some MB at millions of shards.
+
 Defined results: null keys come first, as if they were the lowest key; rows with
 equal keys stay in one shard, however large; null and empty texts weigh nothing;
-a table without bytes, or with no row, goes to shard 0.
+a table without bytes, or with no row, goes to shard 0. Keys are integers, dates or
+timestamps (told apart by the microsecond); a key of another type is refused with a
+ValueError. The number of the shard is shard_id, or _shard_id where docs has that column.
 """
 
 from __future__ import annotations
@@ -23,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import cut, fresh
+from .common import cut, fresh, share
 
-SHARDS, TOLERANCE, PROBES = 32, 0.01, 8
-LOWEST = -(1 << 63)
+SHARD_BYTES, TOLERANCE, PROBES, MOST_PROBES = 64 << 20, 0.01, 8, 1_000_000
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def _below(slim: DataFrame, probes: np.ndarray) -> np.ndarray:
     """Exact bytes of the keys under each probe."""
-    shared = slim.sparkSession.sparkContext.broadcast(probes)
+    shared = share(slim.sparkSession, probes)
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
@@ -45,52 +52,68 @@ def _below(slim: DataFrame, probes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(probes) + 1, dtype=np.int64)
     for place, size in slim.mapInArrow(count, "place long, bytes long").groupBy("place").agg(F.sum("bytes")).collect():
         out[place] = size
-    shared.unpersist()
     return np.cumsum(out)[:-1]
 
 
 def splitters(slim: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[int]:
-    """Boundaries for rows of key and bytes: shard i holds the keys from boundary i - 1 up to boundary i."""
+    """Boundaries for rows of key and bytes: shard i holds the keys from boundary i - 1 up to boundary i.
+
+    A boundary past the highest 64-bit key, under which everything lies, is left out: no key reaches it.
+    """
     low, high, total = slim.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
     if not total or shards < 2:
         return []
-    want = [i * total / shards for i in range(1, shards)]
-    near = tolerance * total / shards
-    # bracket: key whose bytes below are at most the wanted ones, and one whose are at least
-    lo, hi = [int(low)] * len(want), [int(high) + 1] * len(want)
-    lo_bytes, hi_bytes = [0] * len(want), [int(total)] * len(want)
-    done: list[int | None] = [None] * len(want)
+    # keys as distances from the lowest one, which 64 bits without a sign hold
+    want = np.arange(1, shards) * (total / shards)
+    near, span = tolerance * total / shards, int(high) - int(low)
+    # bracket: a distance under which at most the wanted bytes lie, and one under which at least those do
+    lo, hi = np.zeros(len(want), dtype=np.uint64), np.full(len(want), span, dtype=np.uint64)
+    lo_bytes, hi_bytes = np.zeros(len(want)), np.full(len(want), float(total))
+    beyond = np.ones(len(want), dtype=bool)  # hi stands for span + 1 yet
     while True:
-        probes: set[int] = set()
-        for i, w in enumerate(want):
-            if done[i] is not None:
-                continue
-            ends = sorted(((abs(lo_bytes[i] - w), lo[i]), (abs(hi_bytes[i] - w), hi[i])))
-            if ends[0][0] <= near or hi[i] - lo[i] <= 1:
-                done[i] = ends[0][1]
-                continue
-            gap = hi[i] - lo[i]
-            probes |= {lo[i] + gap * j // (PROBES + 1) for j in range(1, PROBES + 1)} - {lo[i], hi[i]}
-            # one more where the bytes would fall if they were spread evenly
-            guess = lo[i] + int(gap * (w - lo_bytes[i]) / max(1, hi_bytes[i] - lo_bytes[i]))
-            probes.add(min(max(guess, lo[i] + 1), hi[i] - 1))
-        if not probes:
-            return sorted(done)
-        at = np.array(sorted(probes), dtype=np.int64)
-        below = _below(slim, at)
-        for i, w in enumerate(want):
-            if done[i] is None:
-                j = int(np.searchsorted(below, w, side="right"))
-                if j and at[j - 1] > lo[i]:
-                    lo[i], lo_bytes[i] = int(at[j - 1]), int(below[j - 1])
-                if j < len(at) and at[j] < hi[i]:
-                    hi[i], hi_bytes[i] = int(at[j]), int(below[j])
-
-
-def shard(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """docs and shard_id, exchanged into `shards` partitions of nearly equal bytes in key order."""
-    own = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST + 1))
+        wide = hi - lo + beyond.astype(np.uint64)  # 0 stands for 2^64
+        one = (wide == 1) & ~((hi - lo == np.uint64((1 << 64) - 1)) & beyond)
+        open_ = (np.minimum(np.abs(lo_bytes - want), np.abs(hi_bytes - want)) > near) & ~one
+        if not open_.any():
+            break
+        i = np.flatnonzero(open_)
+        each = int(max(1, min(PROBES, MOST_PROBES // len(i))))
+        gap = (hi - lo)[i]
+        share_of = (want[i] - lo_bytes[i]) / np.maximum(hi_bytes[i] - lo_bytes[i], 1)
+        steps = [gap // np.uint64(each + 1) * np.uint64(n) + gap % np.uint64(each + 1) * np.uint64(n) // np.uint64(each + 1) for n in range(1, each + 1)]
+        guess = np.minimum((gap.astype(np.float64) * share_of), gap.astype(np.float64) * (1 - 2**-50)).astype(np.uint64)
+        edge = gap if beyond[i].all() else np.where(beyond[i], gap, gap - np.uint64(1))
+        tried = np.unique(np.concatenate([lo[i] + np.clip(x, np.uint64(1), np.maximum(edge, np.uint64(1))) for x in (*steps, guess)]))
+        at = (tried + np.uint64(int(low) % (1 << 64))).view(np.int64)
+        below = _below(slim, at).astype(np.float64)
+        j = np.searchsorted(below, want[i], side="right")
+        up = np.flatnonzero((j > 0) & (tried[np.maximum(j - 1, 0)] > lo[i]))
+        lo[i[up]], lo_bytes[i[up]] = tried[j[up] - 1], below[j[up] - 1]
+        inside = np.minimum(j, len(tried) - 1)
+        down = np.flatnonzero((j < len(tried)) & ((tried[inside] < hi[i]) | (tried[inside] == hi[i]) & beyond[i]))
+        hi[i[down]], hi_bytes[i[down]], beyond[i[down]] = tried[j[down]], below[j[down]], False
+    first = np.abs(lo_bytes - want) <= np.abs(hi_bytes - want)
+    out = [int(low) + (int(a) if f else int(b) + int(x)) for a, b, x, f in zip(lo, hi, beyond, first, strict=True)]
+    return [b for b in sorted(out) if b <= HIGHEST]
+
+
+def _key(docs: DataFrame, key: str):
+    kind = docs.schema[key].dataType.typeName()
+    if kind == "date":
+        return F.unix_date(key).cast("long")
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(key).cast("timestamp"))
+    if kind not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"a key of type {kind} isn't an integer, a date or a timestamp")
+    return F.col(key).cast("long")
+
+
+def shard(docs: DataFrame, key: str = "doc_id", shards: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """docs and shard_id, exchanged into shards of nearly equal bytes in key order: `shards` of them, or one for every SHARD_BYTES."""
+    own = F.coalesce(_key(docs, key), F.lit(LOWEST))
     slim = cut(docs.select(own.alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")))
+    if shards is None:
+        shards = max(1, -(-(slim.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
     at = np.array(splitters(slim, shards, tolerance), dtype=np.int64)
 
     @pandas_udf("int")
