@@ -1,12 +1,17 @@
 """Substring dedup (9): Rabin-Karp hashes of every window of WINDOW tokens.
 
 Every window of every text is hashed with a rolling polynomial over its tokens'
-hashes, and all hashes are counted: a shuffle brings equal hashes to one
-partition, which counts them. A row of that shuffle holds all hashes that a block
-of documents has for one partition (10 bytes a window: the hash and the step from
-the window before), so nothing is paid for rows. The places of the hashes that
-occur twice or more go back to their block, a few percent of the data, where
-windows that touch or overlap merge into maximal intervals.
+hashes, and all hashes are counted: a shuffle brings equal hashes to one partition,
+which counts them. A row of that shuffle holds all hashes that a block of documents
+has for one partition (10 bytes a window: the hash and the step from the window
+before), so nothing is paid for rows. Before it a block counts for itself: a hash
+that repeats within the block is sent once, marked as a repeat, so a passage that
+stands in a third of all texts costs a row's place a block, not one a text. The
+places of the hashes that occur twice or more go back to their block, a few percent
+of the data, where windows that touch or overlap merge into maximal intervals.
+
+The number of partitions follows the bytes of the texts: PARTITION_BYTES of windows
+each (and at least one for a core), so a task's memory doesn't grow with the table.
 
 Tokens are the lower-cased runs of letters and digits. Hashes have 64 bits; at n
 windows about n^2 / 2^65 pairs are expected to be equal by chance.
@@ -14,12 +19,13 @@ windows about n^2 / 2^65 pairs are expected to be equal by chance.
 Defined results: null and empty texts and texts under WINDOW tokens have no
 window; a window repeats whether its copies are in one text or in several, in
 rows that repeat an id too; an interval [start_token, end_token) covers every
-occurrence, the first one included, and first_of is left to the reader: rows are
-told for all. A null doc_id is kept as null.
+occurrence, the first one included: rows are told for all. A null doc_id is kept
+as null.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, batches, grouped_words, mix, parts, powers
+from .common import BASE, U64, batches, grouped_words, mix, portions, powers
 
 WINDOW = 50
 #: Windows gathered before a block is sent on.
 BLOCK = 600_000
-DOCS, PLACES = -2, -1
+DOCS, KNOWN, PLACES, REPEATS = -4, -3, -2, -1
+#: Bytes of hashes and steps that a partition counts, about; a byte of text makes some 2.2 of them.
+PARTITION_BYTES, PER_BYTE = 24 << 20, 2.2
 
 
 def window_hashes(words: np.ndarray, offsets: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -81,23 +89,37 @@ def _hash(n_parts: int):
             h = np.concatenate([x[0] for x in held])
             counts = np.concatenate([x[1] for x in held])
             ids = [i for x in held for i in x[2]]
-            to = ((h >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            edge = np.searchsorted(to[order], np.arange(n_parts + 1))
-            some = np.flatnonzero(np.diff(edge))
+            order = np.argsort(h, kind="stable")
+            same = h[order[1:]] == h[order[:-1]]
+            again, lead = np.concatenate(([False], same)), np.concatenate((same, [False]))
+            known = np.sort(order[again | lead])  # repeated here already
+            one, several = np.sort(order[~again & ~lead]), np.sort(order[lead & ~again])
+            home = (block >> 32) % n_parts
             has = np.flatnonzero(counts)
             docs = pa.array([ids[i] for i in has], pa.int64())
             docs = np.concatenate((counts[has], docs.is_null().to_numpy(zero_copy_only=False).astype(np.int64), docs.fill_null(0).to_numpy())).astype(np.int64).tobytes()
-            blobs = [_pack(h[o], o) for o in (order[edge[p] : edge[p + 1]] for p in some)]
-            return pa.record_batch([pa.array([*some.tolist(), (block >> 32) % n_parts], pa.int32()), pa.array([block] * (len(some) + 1), pa.int64()), pa.array([PLACES] * len(some) + [DOCS], pa.int32()), pa.array([*blobs, docs], pa.binary())], names=["part", "block", "kind", "data"])
+            part, kinds, data = [home], [DOCS], [docs]
+            if len(known):
+                part, kinds, data = [*part, home], [*kinds, KNOWN], [*data, known.astype(np.uint32).tobytes()]
+            for kind, at in ((PLACES, one), (REPEATS, several)):
+                to = ((h[at] >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                edge = np.searchsorted(to[order], np.arange(n_parts + 1))
+                for p in np.flatnonzero(np.diff(edge)).tolist():
+                    own = at[order[edge[p] : edge[p + 1]]]
+                    part.append(p)
+                    kinds.append(kind)
+                    data.append(_pack(h[own], own))
+            return pa.record_batch([pa.array(part, pa.int32()), pa.array([block] * len(part), pa.int64()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], names=["part", "block", "kind", "data"])
 
         for batch in rows:
-            h, counts = window_hashes(*grouped_words([t or "" for t in batch.column(1).to_pylist()]))
-            held.append((h, counts, batch.column(0).to_pylist()))
-            size += len(h)
-            if size >= BLOCK:
-                yield emit()
-                held, size, block = [], 0, block + 1
+            for some in portions(batch):
+                h, counts = window_hashes(*grouped_words([t or "" for t in some.column(1).to_pylist()]))
+                held.append((h, counts, some.column(0).to_pylist()))
+                size += len(h)
+                if size >= BLOCK:
+                    yield emit()
+                    held, size, block = [], 0, block + 1
         if size:
             yield emit()
 
@@ -109,20 +131,23 @@ SENT = "part int, block long, kind int, data binary"
 
 def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows of a partition: which hashes occur twice, told as places by block."""
-    blocks, hashes, places = [], [], []
+    blocks, hashes, places, again = [], [], [], []
     for batch in rows:
         for block, kind, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            if kind == DOCS:
-                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.array([DOCS], pa.int32()), pa.array([data], pa.binary())], names=["part", "block", "kind", "data"])
+            if kind in (DOCS, KNOWN):
+                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["part", "block", "kind", "data"])
                 continue
             h, at = _unpack(data)
+            if kind == REPEATS:  # twice, so that it counts as repeated; its own places are known
+                again.append(h)
+                continue
             blocks.append(block)
             hashes.append(h)
             places.append(at.astype(np.uint32))
     if not hashes:
         return
     size = np.array([len(h) for h in hashes])
-    every = np.concatenate(hashes)
+    every = np.concatenate([*hashes, *again, *again])
     hashes.clear()
     order = np.argsort(every)
     s = every[order]
@@ -140,7 +165,7 @@ SCHEMA = "doc_id long, start_token long, end_token long"
 
 
 def _merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (block, kind): a block's documents, then its places."""
+    """Rows sorted by (block, kind): a block's documents, then its places, of each of its kinds."""
     block, docs, hits = None, b"", []
 
     def emit() -> pa.RecordBatch | None:
@@ -174,7 +199,8 @@ def intervals(docs: DataFrame) -> DataFrame:
     """doc_id, start_token, end_token of the maximal intervals of repeated windows."""
     spark = docs.sparkSession
     batches(spark)
-    n = parts(spark)
+    size = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, math.ceil(size * PER_BYTE / PARTITION_BYTES))
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_hash(n), SENT)
     told = sent.repartitionById(n, F.col("part")).mapInArrow(_count, SENT)
     return told.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_merge, SCHEMA)
