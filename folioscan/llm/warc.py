@@ -1,7 +1,8 @@
 """WARC (6): an archive of pages and a two-level capture index over it.
 
-Archive: each partition of pages becomes one file of gzip members, one WARC
-response record each. Index: capture lines (key, page id, file, offset, length,
+Archive: each partition of pages becomes one file of gzip members: a warcinfo record,
+then one WARC/1.1 response record for each page, with all mandatory fields (its id is
+a UUID made from its file, place and content, its date is that of the archive). Index: capture lines (key, page id, file, offset, length,
 digest) are range-partitioned and sorted by key, the URL with its host reversed;
 each partition becomes one file of compressed blocks of BLOCK_LINES lines,
 followed by its directory, the first key of every block. What the driver holds
@@ -17,7 +18,8 @@ that succeeded name it.
 
 Defined results: null URLs are indexed under the empty key and null pages are
 archived as empty; every row of pages is a capture, rows that repeat one too; a
-key that has no capture gives no row; fragments, schemes, ports, a leading www.
+key that has no capture gives no row; the files of a query (captures_of) are deleted
+once its rows are written, those of archive() and build() are the caller's; fragments, schemes, ports, a leading www.
 and the case of the host aren't part of a key; an empty table gives an empty index.
 """
 
@@ -31,6 +33,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from hashlib import md5
 
 import pyarrow as pa
@@ -39,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, cut, parts, shared_dir
+from .common import batches, cut, filesystem, parts, portions, remove, scoped, share, shared_dir
 
 BLOCK_LINES = 300
 
@@ -53,15 +56,24 @@ def url_key(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")) == "", "").otherwise(key)
 
 
-def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+def _member(kind: str, date: str, name: str, fields: list[str], body: bytes) -> bytes:
+    """A WARC record as one gzip member. name: what its id is made from."""
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", *fields, f"Content-Length: {len(body)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0)
 
 
-def record(url: str, page_id: int | None, html: bytes) -> bytes:
-    """A WARC response record as one gzip member."""
+def info(date: str, file: str) -> bytes:
+    """The record that opens a file."""
+    return _member("warcinfo", date, file, [f"WARC-Filename: {file}", "Content-Type: application/warc-fields"], b"software: folioscan\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(url: str, page_id: int | None, html: bytes, date: str, place: str) -> bytes:
+    """A response record. place: file and offset, so that rows that repeat have ids of their own."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html) + html
-    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {re.sub(chr(92) + 's', '%20', url)}\r\nWARC-Record-ID: <urn:page:{page_id}>\r\nWARC-Payload-Digest: md5:{md5(html).hexdigest()}\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {len(http)}\r\n\r\n"
-    return gzip.compress(head.encode() + http + b"\r\n\r\n", 6, mtime=0)
+    digest = md5(html).hexdigest()
+    # a target is mandatory; a page without a URL has its id for one
+    target = re.sub(r"\s", "%20", url) or f"urn:page:{page_id}"
+    return _member("response", date, f"{place}:{page_id}:{digest}", [f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: md5:{digest}", "Content-Type: application/http;msgtype=response"], http)
 
 
 def payload(member: bytes) -> bytes:
@@ -77,24 +89,28 @@ CAPTURES = "key string, page_id long, file string, offset long, length long, dig
 def archive(pages: DataFrame) -> tuple[DataFrame, str]:
     """Write the archive; capture rows and the folder."""
     spark = pages.sparkSession
-    batches(spark, 500)
+    batches(spark)
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
-        name, at = f"{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz", 0
+        name = f"{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+            first = info(date, name)
+            out.write(first)
+            at = len(first)
             for batch in rows:
-                lines = []
-                for key, i, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    body = (html or "").encode("utf-8", "surrogatepass")
-                    member = record(url or "", i, body)
-                    out.write(member)
-                    lines.append((key, i, name, at, len(member), md5(body).hexdigest()))
-                    at += len(member)
-                if lines:
+                for part in portions(batch, 3):
+                    lines = []
+                    for key, i, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                        body = (html or "").encode("utf-8", "surrogatepass")
+                        member = record(url or "", i, body, date, f"{folder}/{name}:{at}")
+                        out.write(member)
+                        lines.append((key, i, name, at, len(member), md5(body).hexdigest()))
+                        at += len(member)
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*lines, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["key", "page_id", "file", "offset", "length", "digest"])
 
     lines = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, CAPTURES)
@@ -114,7 +130,7 @@ def build(captures: DataFrame, archive_folder: str) -> CaptureIndex:
     folder = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
+        fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         name = f"{task.partitionId():05d}-{task.taskAttemptId()}.idx"
@@ -186,7 +202,7 @@ def lookup(index: CaptureIndex, keys: DataFrame) -> DataFrame:
     asked = keys.toDF("key").select(F.coalesce("key", F.lit("")).alias("key")).distinct()
     if not index.files:
         return spark.createDataFrame([], FOUND)
-    ranges = spark.sparkContext.broadcast((index.firsts, index.files))
+    ranges = share(spark, (index.firsts, index.files))
     folder, root_of_archive = index.folder, index.archive
 
     def route(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +212,8 @@ def lookup(index: CaptureIndex, keys: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(keys, pa.string()), pa.array([max(bisect_right(firsts, k) - 1, 0) for k in keys], pa.int32())], names=["key", "at"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
-        store, base = _open(root_of_archive)
+        fs, root = filesystem(folder)
+        store, base = filesystem(root_of_archive)
         at, reader, open_files = None, None, {}
         for batch in rows:
             out = []
@@ -223,6 +239,11 @@ def lookup(index: CaptureIndex, keys: DataFrame) -> DataFrame:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """Archive and index pages, then look every page's URL up."""
-    lines, folder = archive(pages)
-    return lookup(build(lines, folder), pages.select(url_key(F.col("url")).alias("key")))
+    """Archive and index pages, then look every page's URL up; the archive and the index go once the rows are written."""
+    with scoped():
+        lines, folder = archive(pages)
+        index = build(lines, folder)
+        found = cut(lookup(index, pages.select(url_key(F.col("url")).alias("key"))))
+    remove(folder)
+    remove(index.folder)
+    return found
