@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, grouped_words, mix
+from .common import U64, batches, grouped_words, mix, portions, share
 
 THRESHOLD = 0.7
 
@@ -134,12 +134,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     """doc_id, line_no, license, dice."""
     spark = docs.sparkSession
     batches(spark)
-    shared = spark.sparkContext.broadcast(Templates(templates or TEMPLATES, threshold))
+    shared = share(spark, Templates(templates or TEMPLATES, threshold))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            ids = batch.column(0).to_pylist()
-            if got := shared.value.scan([t or "" for t in batch.column(1).to_pylist()]):
+        for part in (p for batch in rows for p in portions(batch)):
+            ids = part.column(0).to_pylist()
+            if got := shared.value.scan([t or "" for t in part.column(1).to_pylist()]):
                 yield pa.record_batch([pa.array([ids[g[0]] for g in got], pa.int64()), *(pa.array([g[k] for g in got], t) for k, t in ((1, pa.int64()), (2, pa.string()), (3, pa.float64())))], names=["doc_id", "line_no", "license", "dice"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
@@ -226,12 +226,12 @@ def passages(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, first_line, last_line, dice."""
     spark = docs.sparkSession
     batches(spark)
-    shared = spark.sparkContext.broadcast(Passages(TEMPLATES + full_texts(), threshold))
+    shared = share(spark, Passages(TEMPLATES + full_texts(), threshold))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            ids = batch.column(0).to_pylist()
-            if got := shared.value.find([t or "" for t in batch.column(1).to_pylist()]):
+        for part in (p for batch in rows for p in portions(batch)):
+            ids = part.column(0).to_pylist()
+            if got := shared.value.find([t or "" for t in part.column(1).to_pylist()]):
                 yield pa.record_batch([pa.array([ids[g[0]] for g in got], pa.int64()), *(pa.array([g[k] for g in got], t) for k, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64()), (4, pa.float64())))], names=["doc_id", "license", "first_line", "last_line", "dice"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PASSAGES)
