@@ -11,22 +11,36 @@ WS = r"[\s\x1C-\x1F]"
 BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
 
+#: The characters that WS stands for.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def py_lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}+", "")
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def py_rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){WS}+$", "")
+    return F.rtrim(c, F.lit(BLANKS))
+
+
+def let(value: Column, fn) -> Column:
+    """fn of a value that the plan then holds once, however often fn reads it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def split_lines(c: Column) -> Column:
-    """Lines of a text without their breaks; a closing break opens no further line."""
-    got = F.split(c, BREAKS, -1)
-    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).when(F.element_at(got, -1) == "", F.slice(got, 1, F.size(got) - 1)).otherwise(got)
+    """Lines of a text without their breaks; a closing break opens no further line. A null text has none."""
+    own = F.coalesce(c, F.lit(""))
+    return F.when(own == "", F.array().cast("array<string>")).otherwise(let(F.split(own, BREAKS, -1), lambda got: F.when(F.element_at(got, -1) == "", F.slice(got, F.lit(1), F.size(got) - 1)).otherwise(got)))
+
+
+def line_breaks(c: Column) -> Column:
+    """The breaks of a text, in order: one less than its lines, or as many."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(BREAKS), F.lit(0))
 
 
 def mask_code(c: Column) -> Column:
@@ -52,12 +66,13 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
-def spans(c: Column, pattern: str) -> Column:
+def spans(c: Column, pattern: str | Column) -> Column:
     """All matches as an array of (s, e, m), with 0-based code point offsets."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     gaps = F.transform(F.split(c, pattern, -1), F.length)
-    hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(c, pattern, F.lit(0))
     start = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, m: F.struct(g.alias("g"), m.alias("m"))),
+        let(hits, lambda h: F.zip_with(F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, m: F.struct(g.alias("g"), m.alias("m")))),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
@@ -67,16 +82,6 @@ def spans(c: Column, pattern: str) -> Column:
     return start["out"]
 
 
-def first_span(c: Column, pattern: str) -> tuple[Column, Column]:
-    start = F.regexp_instr(c, F.lit(pattern)) - 1
-    return start, start + F.length(F.regexp_extract(c, pattern, 0))
-
-
-def let(value: Column, fn) -> Column:
-    """fn of a value that the plan then holds once, however often fn reads it."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 def strip_phrase(c: Column, pattern: str) -> Column:
     """Every match removed; a word that now opens its sentence gets a capital."""
     parts = F.split(c, pattern, -1)

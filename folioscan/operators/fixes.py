@@ -1,4 +1,8 @@
-"""Rewrites that lose no fact, as chained column expressions over raw prose lines."""
+"""Rewrites that lose no fact, as chained column expressions over raw prose lines, within the row of a file.
+
+What no rewrite touches stays as it is, form feeds and other odd line breaks too;
+carriage returns become newlines, as reading text makes them.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,9 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, py_rstrip, strip_phrase
+from ..functions.text import let, line_breaks, py_rstrip, strip_phrase
 from ..plans.rules import APOS, EMOJI, alt
-from .paths import comment_syntax
-from .prose import lines, prose
+from .prose import at, extracted, is_markdown, nothing, settled, unfolded
 
 _that = r" that\s+"
 #: (what is said of it, pattern); an anchored pattern takes its repetitions along.
@@ -47,19 +50,21 @@ def _step(state: Column, said: str, fn) -> Column:
     return let(state, put)
 
 
-def _start() -> Column:
-    return F.struct(F.col("raw").alias("new"), F.array().cast("array<string>").alias("changes"))
+EDIT = "array<struct<line_no:int,old:string,new:string,changes:array<string>>>"
+
+
+def _start(raw: Column) -> Column:
+    return F.struct(raw.alias("new"), F.array().cast("array<string>").alias("changes"))
 
 
-def _edited(rows: DataFrame, patterns: list[str], state: Column) -> DataFrame:
-    """rows with new and changes of those lines that some pattern matches: no other line can change."""
-    some = reduce(Column.__or__, [F.col("raw").rlike(p) for p in patterns])
-    return rows.where(some).withColumn("state", state).select("*", "state.new", "state.changes").drop("state")
+def _some(raw: Column, patterns: list[str]) -> Column:
+    """Whether a rewrite may change the line: one of its patterns matches."""
+    return reduce(Column.__or__, [raw.rlike(p) for p in patterns])
 
 
-def revision_edit(rows: DataFrame) -> DataFrame:
-    """rows that a rewrite may change, with new and changes (empty where nothing changes)."""
-    first = _step(_start(), "dropped the 'worth …' wrapper of a list's opening", lambda c: F.regexp_replace(c, COUNT_WORTH, "$1$2$3"))
+def revision_edit(raw: Column) -> tuple[Column, Column]:
+    """Whether a rewrite may change the line, and new and changes (empty where nothing changes)."""
+    first = _step(_start(raw), "dropped the 'worth …' wrapper of a list's opening", lambda c: F.regexp_replace(c, COUNT_WORTH, "$1$2$3"))
 
     def others(st: Column) -> Column:
         out = st
@@ -68,48 +73,70 @@ def revision_edit(rows: DataFrame) -> DataFrame:
         out = _step(out, "removed 'Then' before 'confirmed'", lambda c: F.regexp_replace(c, THEN_CONFIRMED, "Confirmed"))
         return F.when(F.size(st["changes"]) > 0, st).otherwise(out)
 
-    return _edited(rows, [COUNT_WORTH, THEN_CONFIRMED, *[p for _, p in REMOVED_REVISION]], let(first, others))
+    return _some(raw, [COUNT_WORTH, THEN_CONFIRMED, *[p for _, p in REMOVED_REVISION]]), let(first, others)
 
 
-def generation_edit(rows: DataFrame) -> DataFrame:
-    """rows that a rewrite may change, with new (null deletes the line) and changes."""
+def generation_edit(raw: Column) -> tuple[Column, Column]:
+    """As revision_edit(); a null new deletes the line."""
 
     def bare(c: Column) -> Column:
         one = F.regexp_replace(F.regexp_replace(c, EMOJI_GLUE, ""), r"(?U)(#{1,6})\s+", "$1 ")
         heading = c.rlike(r"(?U)^#{1,6}\s") & c.rlike(EMOJI)
         return F.when(heading, F.regexp_replace(py_rstrip(one), "  +", " ")).otherwise(c)
 
-    state = _step(_start(), "stripped emoji from a heading", bare)
+    state = _step(_start(raw), "stripped emoji from a heading", bare)
     for said, pattern in OPENERS:
         state = _step(state, said, partial(strip_phrase, pattern=pattern))
-    gone = F.col("raw").rlike(PLEASANTRY)
-    out = _edited(rows, [EMOJI, PLEASANTRY, *[p for _, p in OPENERS]], state)
-    return out.withColumn("new", F.when(~gone, F.col("new"))).withColumn("changes", F.when(gone, F.array(F.lit("deleted a line of pleasantries"))).otherwise(F.col("changes")))
+    gone = F.struct(F.lit(None).cast("string").alias("new"), F.array(F.lit("deleted a line of pleasantries")).alias("changes"))
+    return _some(raw, [EMOJI, PLEASANTRY, *[p for _, p in OPENERS]]), F.when(raw.rlike(PLEASANTRY), gone).otherwise(state)
 
 
 EDITS = {"revision": revision_edit, "generation": generation_edit}
 
 
+def edited(corpus: DataFrame, pack: str) -> DataFrame:
+    """The files as extracted() gives them, with content, units and edits.
+
+    units: the lines with what isn't a newline of their breaks, and newlines. edits: line_no, old, new
+    and changes of the prose lines that a rewrite changes; never of source files.
+    """
+    content = corpus.select(F.col("file_ord").alias("ord"), "path", "content")
+    files = extracted(content.withColumnRenamed("ord", "file_ord"), keep_content=True)
+    files = files.withColumn("breaks", F.when(is_markdown(), line_breaks(F.col("content"))))
+    newline = F.lit(r"^(?:\r\n|[\r\n])$")
+    units = F.zip_with("lines", "breaks", lambda x, found: let(F.coalesce(found, F.lit("")), lambda b: F.struct(F.when(F.rlike(b, newline), x).otherwise(F.concat(x, b)).alias("text"), F.when(F.rlike(b, newline), "\n").otherwise("").alias("newline"))))
+    files = files.withColumn("units", F.when(is_markdown(), units))
+
+    def of(x: Column) -> Column:
+        def told(old: Column) -> Column:
+            may, state = EDITS[pack](old)
+            return F.when(may, let(state, lambda st: F.when(F.size(st["changes"]) > 0, F.struct(x["line_no"].alias("line_no"), old.alias("old"), st["new"].alias("new"), st["changes"].alias("changes")))))
+
+        return let(at("units", x["line_no"] - 1)["text"], told)
+
+    made = F.filter(F.transform("prose", of), lambda e: e.isNotNull()).cast(EDIT)
+    return settled(files.withColumn("edits", F.when(is_markdown(), made).otherwise(nothing(EDIT))), "file_ord", "path", "units", "edits")
+
+
 def edits(corpus: DataFrame, pack: str) -> DataFrame:
-    """file_ord, path, line_no, old, new, changes of the prose lines that a rewrite changes; never of source files."""
-    text = prose(lines(corpus.where(comment_syntax(F.col("path")).isNull())))
-    changed = EDITS[pack](text.select("file_ord", "path", "line_no", "raw")).where(F.size("changes") > 0)
-    return changed.select("file_ord", "path", "line_no", F.col("raw").alias("old"), "new", "changes")
+    """file_ord, path, line_no, old, new, changes."""
+    return unfolded(edited(corpus, pack), "edits", "file_ord", "path")
 
 
 def fix_count(corpus: DataFrame, pack: str) -> DataFrame:
-    return edits(corpus, pack).agg(F.count(F.lit(1)).alias("safe_fixes"))
+    return edited(corpus, pack).agg(F.coalesce(F.sum(F.size("edits")), F.lit(0)).cast("long").alias("safe_fixes"))
 
 
 def rewritten(corpus: DataFrame, pack: str) -> DataFrame:
-    """path and new content of the files that have edits, line ends as newlines."""
-    made = edits(corpus, pack).select("file_ord", "line_no", "new", F.lit(True).alias("edited"))
-    touched = made.select("file_ord").distinct()
-    rows = lines(corpus.join(touched, "file_ord", "left_semi"))
-    closed = corpus.select("file_ord", F.col("content").rlike(r"[\r\n]$").alias("closed"))
-    kept = rows.join(made, ["file_ord", "line_no"], "left").where("edited is null or new is not null")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("new", "raw").alias("t")))), lambda x: x["t"])
-    joined = kept.groupBy("file_ord", "path").agg(F.array_join(parts, "\n").alias("content"))
-    # a file of which every line went is empty
-    whole = corpus.select("file_ord", "path").join(touched, "file_ord", "left_semi").join(joined.drop("path"), "file_ord", "left").join(closed, "file_ord")
-    return whole.select("file_ord", "path", F.when(F.col("content").isNull(), "").when(F.col("closed"), F.concat("content", F.lit("\n"))).otherwise(F.col("content")).alias("content"))
+    """file_ord, path and new content of the files that have edits."""
+    files = edited(corpus, pack)
+
+    def stretch(k: Column) -> Column:
+        """The lines after edit k - 1 and before edit k, then what edit k makes of its line."""
+        first = F.when(k == 0, F.lit(1)).otherwise(F.get("edits", k - 1)["line_no"] + 1)
+        after = F.when(k == F.size("edits"), F.size("units") + 1).otherwise(F.get("edits", k)["line_no"])
+        kept = F.array_join(F.transform(F.slice("units", first, after - first), lambda u: F.concat(u["text"], u["newline"])), "")
+        return F.concat(kept, F.coalesce(F.concat(F.get("edits", k)["new"], F.get("units", F.get("edits", k)["line_no"] - 1)["newline"]), F.lit("")))
+
+    content = F.array_join(F.transform(F.sequence(F.lit(0), F.size("edits")), stretch), "")
+    return unfolded(files, F.when(F.size("edits") > 0, F.array(F.struct(content.alias("content")))), "file_ord", "path", first="content")

@@ -1,7 +1,8 @@
-"""Rule matching: one projection for a pack, no exchange.
+"""Rule matching, within the row of a file.
 
-The rules of a line are one array expression; the windows that pair a line with
-the next reuse the partitioning and order that prose() left behind.
+A line that holds none of the pack's triggers is passed over after one search
+(plans/triggers.py); of the others each rule's constant pattern is tried, and only
+the rules that match are worked out further, from a table of rules.
 """
 
 from __future__ import annotations
@@ -11,111 +12,137 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_span, let, py_lstrip, py_strip, spans
-from ..plans.rules import EMOJI, GENERATION, Pack, Rule
-from .prose import BLOCK_START, in_order
+from ..functions.text import let, py_lstrip, py_strip, spans
+from ..plans.rules import EMOJI, GENERATION, Pack
+from ..plans.triggers import folded, pack_triggers
+from .prose import BLOCK_START, extracted, nothing, settled, unfolded
 
-HIT = "array<struct<pass:int,ordinal:int,class:string,label:string,match:string,text:string>>"
+HIT = "array<struct<line:int,pass:int,ordinal:int,class:string,label:string,match:string,text:string>>"
 LINE, EMOJI_PASS, WRAP, PHANTOM, EMPTY, BULLETS, CONFETTI = range(7)
 BULLET_LEAD = rf"(?U)^\s*(?:[-+*]\s+)?{EMOJI}"
 
 
-def _hit(step: int, ordinal: int, rule_class: str, label: str, match: Column, text: Column) -> Column:
-    return F.struct(F.lit(step).alias("pass"), F.lit(ordinal).alias("ordinal"), F.lit(rule_class).alias("class"), F.lit(label).alias("label"), match.alias("match"), text.alias("text"))
+def hit(line: Column, step: int, ordinal: Column, rule_class: Column, label: Column, match: Column, text: Column) -> Column:
+    return F.struct(line.cast("int").alias("line"), F.lit(step).alias("pass"), ordinal.alias("ordinal"), rule_class.alias("class"), label.alias("label"), match.alias("match"), text.alias("text"))
 
 
-def _present(hits: list[Column]) -> Column:
-    return F.filter(F.array(*hits), lambda h: h.isNotNull()).cast(HIT)
+def _table(pack: Pack) -> Column:
+    """The rules as an array; suppressors are empty where there are none."""
+    row = lambda r: F.struct(F.lit(r.cls).alias("class"), F.lit(r.label).alias("label"), F.lit(r.regex).alias("regex"), F.lit(r.raw).alias("raw"), F.lit(r.suppress or "").alias("suppress"), F.lit(r.positional).alias("positional"), F.lit(r.path_suppress or "").alias("path_suppress"))
+    return F.array(*[row(r) for r in pack.rules])
 
 
-def _first_of_class(name: str) -> Column:
-    """The earliest hit of each class of an array column.
-
-    Of a column, not an expression: the lambda reads it once for each hit.
-    """
-    hits = F.col(name)
-    return F.filter(hits, lambda h, i: F.array_position(F.transform(hits, lambda x: x["class"]), h["class"]) == i + 1)
+def _first_of_class(hits: Column) -> Column:
+    return let(hits, lambda all_: F.filter(all_, lambda h, i: F.array_position(F.transform(all_, lambda x: x["class"]), h["class"]) == i + 1))
 
 
-def _overlapped(hay: Column, pattern: str, start: Column, end: Column) -> Column:
+def _overlapped(hay: Column, pattern: Column, start: Column, end: Column) -> Column:
     """Whether some match of pattern overlaps [start, end)."""
     return F.exists(spans(hay, pattern), lambda q: (q["s"] < end) & (start < q["e"]))
 
 
-def _allowed(rule: Rule, hay: Column) -> Column:
+def _path_allows(rule: Column) -> Column:
+    return (rule["path_suppress"] == "") | ~F.rlike(F.col("path"), rule["path_suppress"])
+
+
+def _allowed(rule: Column, hay: Column) -> Column:
     """Not suppressed, for the rule's first match in hay."""
-    ok = F.lit(True)
-    if rule.suppress and rule.positional:
-        s, e = first_span(hay, rule.regex)
-        ok = ~_overlapped(hay, rule.suppress, s, e)
-    elif rule.suppress:
-        ok = ~hay.rlike(rule.suppress)
-    return ok & ~F.col("path").rlike(rule.path_suppress) if rule.path_suppress else ok
+    start = F.regexp_instr(hay, rule["regex"]) - 1
+    free = let(start, lambda s: ~_overlapped(hay, rule["suppress"], s, s + F.length(F.regexp_substr(hay, rule["regex"]))))
+    clear = F.when(rule["suppress"] == "", True).when(rule["positional"], free).otherwise(~F.rlike(hay, rule["suppress"]))
+    return clear & _path_allows(rule)
 
 
-def line_hits(pack: Pack) -> Column:
-    """All hits of a line."""
+def line_hits(pack: Pack, x: Column) -> Column:
+    """All hits of a line of prose x, the first of each class."""
     md = F.col("kind") == "markdown"
-    heading = md & py_lstrip(F.col("raw")).rlike(pack.heading)
-    table = md & py_lstrip(F.col("raw")).startswith("|")
-    out = []
+    heading = md & py_lstrip(x["raw"]).rlike(pack.heading)
+    table = md & py_lstrip(x["raw"]).startswith("|")
+    matching = []
     for i, r in pack.line_rules():
-        hay = F.col("raw") if r.raw else F.col("plain")
-        when = hay.rlike(r.regex) & _allowed(r, hay)
+        when = (x["raw"] if r.raw else x["plain"]).rlike(r.regex)
         when = heading & when if r.heading_only else md & when if r.raw else when
         if r.cls == pack.long_table_class:
-            when = when & ~(table & (F.length("raw") > 200))
-        out.append(F.when(when, _hit(LINE, i, r.cls, r.label, py_strip(F.regexp_extract(hay, r.regex, 0)), F.col("stripped"))))
+            when = when & ~(table & (F.length(x["raw"]) > 200))
+        matching.append(F.when(when, F.lit(i)))
+
+    def worked_out(i: Column) -> Column:
+        def of(rule: Column) -> Column:
+            hay = F.when(rule["raw"], x["raw"]).otherwise(x["plain"])
+            return let(hay, lambda h: F.when(_allowed(rule, h), hit(x["line_no"], LINE, i, rule["class"], rule["label"], py_strip(F.regexp_substr(h, rule["regex"])), x["stripped"])))
+
+        return let(F.get(_table(pack), i), of)
+
+    found = F.transform(F.filter(F.array(*matching), lambda i: i.isNotNull()), worked_out) if matching else nothing(HIT)
     if pack.emoji:
-        shown = md & ~table & ((heading & F.col("raw").rlike(EMOJI)) | F.col("raw").rlike(BULLET_LEAD))
-        out.append(F.when(shown, _hit(EMOJI_PASS, 0, "5", "emoji decoration", F.regexp_extract("raw", EMOJI, 0), F.col("stripped"))))
-    return _present(out)
-
-
-def wrap_hits(pack: Pack) -> Column:
-    """Hits across a line's end, of the columns joined, cut and next (a struct)."""
-    out = []
-    for i, r in pack.wrap_rules():
-        across = F.get(F.filter(spans(F.col("joined"), r.regex), lambda q: (q["s"] < F.col("cut")) & (q["e"] > F.col("cut"))), F.lit(0))
-
-        def told(q: Column) -> Column:
-            ok = q.isNotNull()
-            if r.suppress and r.positional:
-                ok &= ~_overlapped(F.col("joined"), r.suppress, q["s"], q["e"])
-            elif r.suppress:
-                ok &= ~(F.col("joined") if pack.joined_suppress else q["m"]).rlike(r.suppress)
-            if r.path_suppress:
-                ok &= ~F.col("path").rlike(r.path_suppress)
-            return F.when(ok, _hit(WRAP, i, r.cls, r.label, py_strip(q["m"]), F.concat_ws(" ", "stripped", "next.stripped")))
-
-        # rlike first: positions are only worked out where there is a match at all
-        out.append(F.when(F.col("joined").rlike(r.regex), let(across, told)))  # told is read at once
-    return _present(out)
-
-
-def matched(text: DataFrame, pack: Pack) -> DataFrame:
-    """text with hits: those of the line pass, then those across to the next line."""
-    own = text.withColumn("line_all", line_hits(pack)).withColumn("line_hits", _first_of_class("line_all")).drop("line_all")
-    own = own.withColumn("classes", F.transform("line_hits", lambda h: h["class"]))
-    ahead = F.lead(F.struct("line_no", "stripped", "plain", F.col("raw").rlike(BLOCK_START).alias("block"), "classes")).over(in_order())
-    paired = own.withColumn("next", ahead)
-    closed = (F.col("kind") == "markdown") & py_lstrip(F.col("raw")).rlike(r"^[#|]")
-    joins = (F.col("next.line_no") == F.col("line_no") + 1) & ~closed & ~F.col("next.block")
-    paired = paired.withColumn("joined", F.when(joins, F.concat_ws(" ", "plain", "next.plain"))).withColumn("cut", F.length("plain"))
-    paired = paired.withColumn("wrap_all", F.when(F.col("joined").isNotNull(), wrap_hits(pack)).otherwise(F.array().cast(HIT)))
-    paired = paired.withColumn("wrap_hits", _first_of_class("wrap_all")).withColumn("seen", F.array_union("classes", "next.classes"))
-    fresh = F.filter("wrap_hits", lambda h: ~F.array_contains("seen", h["class"]))
-    out = paired.withColumn("hits", F.when(F.size("wrap_hits") > 0, F.concat("line_hits", fresh)).otherwise(F.col("line_hits")))
-    return out.drop("joined", "cut", "next", "line_hits", "classes", "wrap_all", "wrap_hits", "seen")
+        shown = md & ~table & ((heading & x["raw"].rlike(EMOJI)) | x["raw"].rlike(BULLET_LEAD))
+        found = F.concat(found, F.array(F.when(shown, hit(x["line_no"], EMOJI_PASS, F.lit(0), F.lit("5"), F.lit("emoji decoration"), F.regexp_extract(x["raw"], EMOJI, 0), x["stripped"]))))
+    return _first_of_class(F.filter(found, lambda h: h.isNotNull()).cast(HIT))
+
+
+def wrap_hits(pack: Pack, x: Column, following: Column, joined: Column) -> Column:
+    """Hits across a line's end: x and the line of prose after it, joined. The first of each class."""
+    cut = F.length(x["plain"])
+    matching = [F.when(joined.rlike(r.regex), F.lit(i)) for i, r in pack.wrap_rules()]
+
+    def worked_out(i: Column) -> Column:
+        def of(rule: Column) -> Column:
+            across = F.get(F.filter(spans(joined, rule["regex"]), lambda q: (q["s"] < cut) & (q["e"] > cut)), F.lit(0))
+
+            def said(q: Column) -> Column:
+                clear = F.when(rule["suppress"] == "", True).when(rule["positional"], ~_overlapped(joined, rule["suppress"], q["s"], q["e"])).otherwise(~F.rlike(joined if pack.joined_suppress else q["m"], rule["suppress"]))
+                return F.when(q.isNotNull() & clear & _path_allows(rule), hit(x["line_no"], WRAP, i, rule["class"], rule["label"], py_strip(q["m"]), F.concat_ws(" ", x["stripped"], following["stripped"])))
+
+            return let(across, said)
+
+        return let(F.get(_table(pack), i), of)
+
+    found = F.transform(F.filter(F.array(*matching), lambda i: i.isNotNull()), worked_out)
+    return _first_of_class(F.filter(found, lambda h: h.isNotNull()).cast(HIT))
+
+
+def scanned(files: DataFrame, pack: Pack) -> DataFrame:
+    """files (extracted) with hits: those of the line pass and those across to the next line."""
+    triggers, raw_triggers = pack_triggers(pack)
+    md = F.col("kind") == "markdown"
+    none = nothing(HIT)
+
+    def on_line(x: Column) -> Column:
+        may = folded(x["plain"]).rlike(triggers) | (md & py_lstrip(x["raw"]).startswith("#"))
+        if raw_triggers:
+            may = may | (md & folded(x["raw"]).rlike(raw_triggers))
+        if pack.emoji:
+            may = may | (md & x["raw"].rlike(EMOJI))
+        return F.when(may, line_hits(pack, x)).otherwise(none)
+
+    if not pack.rules and not pack.emoji:
+        return files.withColumn("hits", none)
+    own = settled(files.withColumn("on_line", F.transform("prose", on_line)), *files.columns, "on_line")
+    if not pack.wrap_rules():
+        return own.withColumn("hits", F.flatten("on_line")).drop("on_line")
+
+    def across(i: Column) -> Column:
+        x, following = F.get("prose", i), F.get("prose", i + 1)
+        closed = md & py_lstrip(x["raw"]).rlike(r"^[#|]")
+        joins = (following["line_no"] == x["line_no"] + 1) & ~closed & ~following["raw"].rlike(BLOCK_START)
+
+        def of(joined: Column) -> Column:
+            seen = F.transform(F.concat(F.get("on_line", i), F.get("on_line", i + 1)), lambda h: h["class"])
+            fresh = let(seen, lambda s: F.filter(wrap_hits(pack, x, following, joined), lambda h: ~F.array_contains(s, h["class"])))
+            return F.when(folded(joined).rlike(triggers), fresh).otherwise(none)
+
+        return F.when(joins, let(F.concat_ws(" ", x["plain"], following["plain"]), of)).otherwise(none)
+
+    wraps = F.when(F.size("prose") > 1, F.transform(F.sequence(F.lit(0), F.size("prose") - 2), across)).otherwise(F.array().cast(f"array<{HIT}>"))
+    return settled(own.withColumn("hits", F.flatten(F.concat("on_line", wraps))), *files.columns, "hits")
 
 
 FOUND = ["file_ord", "path", "line", "class", "label", "match", "text", "pass", "ordinal"]
 
 
-def text_findings(text: DataFrame, pack: Pack) -> DataFrame:
-    """A row for each finding of the line and wrap passes."""
-    # inline_outer: of a plain inline Catalyst infers a filter, and pushing it copies all rules' expressions again and again
-    return matched(text, pack).select("file_ord", "path", F.col("line_no").alias("line"), F.inline_outer("hits")).where("class is not null").select(*FOUND)
+def rows_of(files: DataFrame, hits: str | Column = "hits") -> DataFrame:
+    """A row for each hit of the files."""
+    return unfolded(files, hits, "file_ord", "path", first="class").select(*FOUND)
 
 
 def first_wins(found: DataFrame) -> DataFrame:
@@ -124,26 +151,30 @@ def first_wins(found: DataFrame) -> DataFrame:
     return found.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def raw_rule_hits(text: DataFrame, pack: Pack) -> DataFrame:
-    """Every rule's first match on every line before suppression and dedupe, with suppressed."""
-    rows = []
-    for i, r in pack.line_rules():
-        if not (r.suppress or r.path_suppress):
-            continue
-        hay = F.col("raw") if r.raw else F.col("plain")
-        rows.append(F.when(hay.rlike(r.regex), F.struct(F.lit(r.label).alias("label"), py_strip(F.regexp_extract(hay, r.regex, 0)).alias("match"), (~_allowed(r, hay)).alias("suppressed"))))
-    kept = F.filter(F.array(*rows), lambda h: h.isNotNull())
-    return text.select("file_ord", "path", F.col("line_no").alias("line"), F.inline(kept))
+def raw_rule_hits(files: DataFrame, pack: Pack) -> DataFrame:
+    """Every suppressible rule's first match on every line before suppression and dedupe, with suppressed."""
 
+    def of(x: Column) -> Column:
+        rows = []
+        for i, r in pack.line_rules():
+            if r.suppress or r.path_suppress:
+                hay = x["raw"] if r.raw else x["plain"]
+                rule = F.get(_table(pack), F.lit(i))
+                rows.append(F.when(hay.rlike(r.regex), F.struct(x["line_no"].alias("line"), F.lit(r.label).alias("label"), py_strip(F.regexp_extract(hay, r.regex, 0)).alias("match"), (~_allowed(rule, hay)).alias("suppressed"))))
+        return F.filter(F.array(*rows), lambda h: h.isNotNull())
 
-def findings(corpus: DataFrame, pack: Pack, listing: DataFrame | None = None) -> DataFrame:
-    """All findings of a pack. listing: (path) of what exists, for relative links; the corpus by default."""
+    return unfolded(files, F.flatten(F.transform("prose", of)), "file_ord", "path", first="label")
+
+
+def findings(corpus: DataFrame, pack: Pack, listing: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """All findings of a pack. listing: (path) of what exists, for relative links; the corpus by default.
+    files: the corpus as scanned() gives it, if that is at hand.
+    """
     from . import structure
-    from .prose import readable
 
-    text = readable(corpus)
-    found = text_findings(text, pack)
+    files = files if files is not None else scanned(extracted(corpus), pack)
+    found = rows_of(files)
     if pack.name != GENERATION.name:
         return found
-    more = [structure.phantom_links(text, listing if listing is not None else corpus.select("path")), structure.empty_sections(corpus), structure.bold_runs(corpus), structure.separator_confetti(corpus)]
+    more = [structure.phantom_links(files, listing if listing is not None else corpus.select("path")), rows_of(structure.shapes(files), "shapes")]
     return first_wins(reduce(DataFrame.unionByName, more, found))

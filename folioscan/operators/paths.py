@@ -57,24 +57,40 @@ def excluded(path: Column, substrings: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [path.contains(x) for x in substrings], F.lit(False))
 
 
+def normal_path(path: Column) -> Column:
+    """The path with its . and .. steps resolved."""
+    steps = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+    empty = F.array().cast("array<string>")
+    done = F.aggregate(
+        steps,
+        empty,
+        lambda acc, s: F.when((s == "..") & (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("..")) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when((s == "..") & path.startswith("/"), acc)
+        .otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(done, "/"))
+
+
 def classified(files: DataFrame) -> DataFrame:
     """files with kind: markdown, code, minified or other."""
     p = F.col("path")
     return files.withColumn("kind", F.when(is_markdown(p), "markdown").when(comment_syntax(p).isNotNull(), F.when(is_minified(p), "minified").otherwise("code")).otherwise("other"))
 
 
-def collect(files: DataFrame, excludes: list[str] = (), own: list[str] = (), include_records: bool = False, include_code: bool = False, named: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def collect(files: DataFrame, excludes: list[str] = (), own: list[str] = (), include_records: bool = False, include_code: bool = False, named: list[str] = (), base: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The corpus, the records passed over, and the source files passed over.
 
     named: files that were asked for by name; a source file among them is taken
-    without include_code, a minified one too.
+    without include_code, a minified one too. base: the folder that relative paths
+    start from, for own, whose paths are absolute.
     """
     known = classified(files)
     p = F.col("path")
     asked = p.isin(*named) if named else F.lit(False)
+    whole = normal_path(F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), p))) if base else p
     take = (F.col("kind") == "markdown") | (F.col("kind").isin("code", "minified") & asked) | ((F.col("kind") == "code") & F.lit(include_code))
     left = known.where((F.col("kind") == "code") & ~asked & ~F.lit(include_code)).drop("kind")
-    kept = known.where(take & ~excluded(p, list(excludes)) & ~is_self(p, list(own))).drop("kind")
+    kept = known.where(take & ~excluded(p, list(excludes)) & ~is_self(whole, list(own))).drop("kind")
     if include_records:
         return kept, kept.where(F.lit(False)), left
     return kept.where(~is_record(p)), kept.where(is_record(p)), left

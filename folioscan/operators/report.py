@@ -8,19 +8,32 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.rules import PACKS
+from ..plans.rules import GENERATION, PACKS, Pack
 from . import echoes, fixes
-from .match import findings
+from .match import findings, scanned
 from .paths import class_matches, collect
-from .prose import line_counts, readable
+from .prose import extracted
+
+
+def _per_100(files: DataFrame) -> DataFrame:
+    """files (file_ord, path, lines, findings) with per_100_lines."""
+    per = F.when(F.col("lines") > 0, F.bround(F.lit(100.0) * F.col("findings") / F.col("lines"), 1)).otherwise(F.lit(0.0))
+    return files.withColumn("per_100_lines", per)
 
 
 def density(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """file_ord, path, lines, findings, per_100_lines of every file."""
+    """file_ord, path, lines, findings, per_100_lines of every file of counts."""
     n = found.groupBy("file_ord").agg(F.count(F.lit(1)).alias("findings"))
-    per = F.when(F.col("lines") > 0, F.bround(F.lit(100.0) * F.col("findings") / F.col("lines"), 1)).otherwise(F.lit(0.0))
     joined = counts.join(n, "file_ord", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
-    return joined.select("file_ord", "path", "lines", "findings", per.alias("per_100_lines"))
+    return _per_100(joined.select("file_ord", "path", "lines", "findings"))
+
+
+def density_of(corpus: DataFrame, pack: Pack) -> DataFrame:
+    """density() of all findings; where they all come from within the file, in one pass and without an exchange."""
+    files = scanned(extracted(corpus), pack)
+    if pack.name == GENERATION.name:
+        return density(findings(corpus, pack, files=files), files.select("file_ord", "path", F.col("n_lines").alias("lines")))
+    return _per_100(files.select("file_ord", "path", F.col("n_lines").alias("lines"), F.size("hits").cast("long").alias("findings")))
 
 
 def clean_files(dens: DataFrame) -> DataFrame:
@@ -33,22 +46,34 @@ def class_totals(found: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     return found.groupBy("class").agg(F.count(F.lit(1)).alias("findings")).select("class", order.alias("class_ord"), "findings")
 
 
+def cross_scanner(revision: DataFrame, generation: DataFrame) -> DataFrame:
+    """file_ord, path, line and classes (a list such as generation:1, revision:0a): a line that both packs find counts once."""
+    both = revision.select("file_ord", "path", "line", F.concat(F.lit("revision:"), "class").alias("c")).unionByName(generation.select("file_ord", "path", "line", F.concat(F.lit("generation:"), "class").alias("c")))
+    return both.groupBy("file_ord", "path", "line").agg(F.array_join(F.array_sort(F.collect_set("c")), ", ").alias("classes"))
+
+
+def roll_up(found: DataFrame) -> DataFrame:
+    """class, path, findings: by class and file, by class (path is null) and in all (both are null)."""
+    return found.rollup("class", "path").agg(F.count(F.lit(1)).alias("findings"))
+
+
 class Audit:
     """One run over files (file_ord, path, content): everything lazily, as DataFrames."""
 
     def __init__(self, files: DataFrame, pack: str = "revision", wanted: str = "", listing: DataFrame | None = None, **rules) -> None:
         self.pack = PACKS[pack]
         self.corpus, self.records, self.left = collect(files, **rules)
-        self.all = findings(self.corpus, self.pack, listing)
-        self.found = self.all.where(class_matches(F.col("class"), wanted))
-        self.density = density(self.found, line_counts(self.corpus, readable(self.corpus)))
+        # kept over the report's actions; what is lost with an executor is made again
+        self.files = scanned(extracted(self.corpus), self.pack).persist()
+        self.found = findings(self.corpus, self.pack, listing, self.files).where(class_matches(F.col("class"), wanted))
+        self.density = density(self.found, self.files.select("file_ord", "path", F.col("n_lines").alias("lines")))
         self.fixes = fixes.fix_count(self.corpus, pack)
 
     def collisions(self) -> DataFrame:
         return echoes.collisions(self.found)
 
     def echoes(self) -> DataFrame:
-        paras = echoes.paragraphs(readable(self.corpus))
+        paras = echoes.paragraphs(self.files)
         exact = echoes.sentence_echoes(paras).withColumn("similarity", F.lit(None).cast("double"))
         return exact.unionByName(echoes.near_echoes(paras))
 
@@ -101,7 +126,7 @@ def render(report: dict, classes: tuple[str, ...]) -> str:
     dense = sorted((s for s in report["files"] if s["findings"]), key=lambda s: -s["per_100_lines"])
     if dense:
         out.append("\n=== density: findings per 100 lines ===")
-        out += [f"  {s['per_100_lines']:6.1f}  {s['file']}  ({s['findings']} in {s['lines']} lines)" for s in dense]
+        out += [f"  {s['file']}: {s['per_100_lines']} ({s['findings']} of {s['lines']} lines)" for s in dense]
     out.append("\nclean: " + (", ".join(report["clean_files"]) or "none"))
     out.append(f"\n{len(report['findings'])} finding(s) in {len(report['files'])} file(s).")
     if report["safe_fixes"]:
@@ -123,6 +148,20 @@ def show_edits(rows: list) -> str:
     return "\n".join(out)
 
 
+def footer(edits: int, dry_run: bool, records: int, source_files: int) -> str:
+    """What --fix says in the end."""
+    out = f"{edits} rewrite(s) {'to be made' if dry_run else 'made'}"
+    out += f"; {records} record(s) passed over" if records else ""
+    out += f"; {source_files} source file(s) never rewritten" if source_files else ""
+    return out + "."
+
+
+def nothing_found(records: int, source_files: int) -> str:
+    """What is said where there is no file to read."""
+    notes = [f"{records} record(s) passed over, --include-records reads them"] * bool(records) + [f"{source_files} source file(s) passed over, --code reads their comments"] * bool(source_files)
+    return "no text to audit" + (f" ({'; '.join(notes)})" if notes else "")
+
+
 def dump(report: dict) -> None:
     json.dump(report, sys.stdout, indent=2)
     print()

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mask_code, py_strip
-from .match import BULLETS, CONFETTI, EMPTY, FOUND, PHANTOM
-from .paths import comment_syntax
-from .prose import FENCE, in_order, up_to, fences, front_matter, lines
+from .match import BULLETS, CONFETTI, EMPTY, FOUND, HIT, PHANTOM, hit
+from .paths import normal_path
+from .prose import fenced, is_markdown, nothing, told, unfolded
 
 BOLD_BULLET = r"(?U)^\s*(?:\d+[).]|[-+*])\s+\*\*[^*]+\*\*"
 RUN_LEAST, BREAKS_LEAST = 5, 3
@@ -16,83 +16,72 @@ THEMATIC = r"(?U)^\s{0,3}(?:_{3,}|\*{3,}|-{3,})\s*$"
 LINK = r"""!?\[[^\]]*\]\(\s*<?([^)>\s]+)>?\s*(?:"[^"]*")?\)"""
 
 
-def _told(rows: DataFrame, step: int, cls: str, label: str, line: Column, match: Column, text: Column) -> DataFrame:
-    return rows.select("file_ord", "path", line.cast("int").alias("line"), F.lit(cls).alias("class"), F.lit(label).alias("label"), match.alias("match"), text.alias("text"), F.lit(step).alias("pass"), F.lit(0).alias("ordinal")).select(*FOUND)
-
-
-def _markdown(corpus: DataFrame) -> DataFrame:
-    return lines(corpus.where(comment_syntax(F.col("path")).isNull()))
-
-
 def decoded(target: Column) -> Column:
     """Percent escapes read as UTF-8; malformed ones stay, and a plus is a plus."""
     safe = F.regexp_replace(F.regexp_replace(target, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
     return F.coalesce(F.try_url_decode(safe), target)
 
 
-def normal_path(path: Column) -> Column:
-    """The path with its . and .. steps resolved."""
-    steps = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
-    empty = F.array().cast("array<string>")
-    done = F.aggregate(
-        steps,
-        empty,
-        lambda acc, s: F.when((s == "..") & (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("..")) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when((s == "..") & path.startswith("/"), acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(done, "/"))
-
-
-def links(text: DataFrame) -> DataFrame:
-    """Relative link targets of prose: file_ord, path, line_no, stripped, target, resolved."""
-    all_ = text.where("kind = 'markdown'").select("file_ord", "path", "line_no", "stripped", F.posexplode(F.regexp_extract_all(mask_code(F.col("raw")), F.lit(LINK), F.lit(1))).alias("nth", "target"))
+def links(files: DataFrame) -> DataFrame:
+    """Relative link targets of prose: file_ord, path, line_no, stripped, nth, target, resolved."""
+    text = unfolded(files.where(is_markdown()), "prose", "file_ord", "path")
+    all_ = text.select("file_ord", "path", "line_no", "stripped", F.posexplode(F.regexp_extract_all(mask_code(F.col("raw")), F.lit(LINK), F.lit(1))).alias("nth", "target"))
     kept = all_.where(~F.col("target").rlike(r"^(?:[A-Za-z][-+.A-Za-z0-9]*:|[#/{<])") & ~F.col("target").contains("$"))
     bare = decoded(F.regexp_replace("target", r"[#?].*$", ""))
     folder = F.regexp_replace("path", "[^/]*$", "")
     return kept.withColumn("bare", bare).where("bare <> ''").withColumn("resolved", normal_path(F.when(F.col("bare").startswith("/"), F.col("bare")).otherwise(F.concat(folder, "bare")))).drop("bare")
 
 
-def phantom_links(text: DataFrame, listing: DataFrame) -> DataFrame:
+def phantom_links(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Relative links to what listing (path: files) doesn't hold, as a file or a folder; the first of a line."""
-    files = listing.select(normal_path(F.col("path")).alias("p"))
+    known = listing.select(normal_path(F.col("path")).alias("p"))
     steps = F.split("p", "/")
-    folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("there"))
+    folders = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("there"))
     there = folders.where("there <> ''").distinct()
-    lost = links(text).where("resolved <> ''").join(there, F.col("resolved") == F.col("there"), "left_anti")
+    lost = links(files).where("resolved <> ''").join(there, F.col("resolved") == F.col("there"), "left_anti")
     first = lost.groupBy("file_ord", "path", "line_no", "stripped").agg(F.min_by("target", "nth").alias("target"))
-    return _told(first, PHANTOM, "0d", "phantom relative link", F.col("line_no"), F.col("target"), F.col("stripped"))
+    one = hit(F.col("line_no"), PHANTOM, F.lit(0), F.lit("0d"), F.lit("phantom relative link"), F.col("target"), F.col("stripped"))
+    return first.select("file_ord", "path", one.alias("h")).select("file_ord", "path", "h.*").select(*FOUND)
 
 
-def empty_sections(corpus: DataFrame) -> DataFrame:
-    """Headings that the next non-blank line, of their depth or above, follows at once.
-
-    Front matter and comments are lines like any other; fenced lines are body, blank ones too.
+def _body() -> Column:
+    """What counts for an empty section: a heading that the next non-blank line, of its depth or above,
+    follows at once. Front matter and comments are lines like any other; fenced lines are body, blank ones too.
     """
-    rows = _markdown(corpus).withColumn("is_fence", F.col("raw").rlike(FENCE))
-    rows = rows.withColumn("fenced", F.col("is_fence") | (F.sum(F.col("is_fence").cast("int")).over(up_to()) % 2 == 1))
-    depth = F.when(~F.col("fenced"), F.length(F.regexp_extract("raw", r"(?U)^(#{1,6})\s+\S", 1))).otherwise(0)
-    body = rows.withColumn("depth", depth).where(F.col("fenced") | (py_strip(F.col("raw")) != ""))
-    after = body.withColumn("after", F.lead("depth").over(in_order())).withColumn("any_after", F.lead(F.lit(1)).over(in_order()))
-    bare = after.where((F.col("depth") > 0) & (F.col("any_after").isNull() | ((F.col("after") > 0) & (F.col("after") <= F.col("depth")))))
-    text = py_strip(F.col("raw"))
-    return _told(bare, EMPTY, "0c", "empty section", F.col("line_no"), text, text)
-
-
-def bold_runs(corpus: DataFrame) -> DataFrame:
-    """Runs of RUN_LEAST or more bullets in a row that open with a bold term."""
-    hit = _markdown(corpus).where(F.col("raw").rlike(BOLD_BULLET))
-    runs = hit.withColumn("island", F.col("line_no") - F.row_number().over(in_order())).groupBy("file_ord", "path", "island").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= RUN_LEAST)
-    n = F.col("n").cast("string")
-    return _told(runs, BULLETS, "6", "bold-term bullet run", F.col("line_no"), F.concat(n, F.lit(" consecutive bullets")), F.concat(n, F.lit(" consecutive '**Term**: …' bullets starting here")))
-
-
-def separator_confetti(corpus: DataFrame) -> DataFrame:
-    """BREAKS_LEAST or more thematic breaks outside front matter and fences; a rule under text is no break."""
-    rows = fences(front_matter(_markdown(corpus)))
-    above = F.lag(py_strip(F.col("raw"))).over(in_order())
-    rows = rows.withColumn("above", F.coalesce(above, F.lit("")))
-    hit = rows.where((F.col("line_no") > F.col("fm_end")) & ~F.col("is_fence") & ~F.col("in_fence") & F.col("raw").rlike(THEMATIC) & (F.col("above") == ""))
-    many = hit.groupBy("file_ord", "path").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= BREAKS_LEAST)
-    n = F.col("n").cast("string")
-    return _told(many, CONFETTI, "6", "separator confetti", F.col("line_no"), F.concat(n, F.lit(" horizontal rules")), F.concat(n, F.lit(" horizontal rules in one document, first one here")))
+    inside = lambda x: x["is_fence"] | x["in_fence"]
+    depth = lambda x: F.when(~inside(x), F.length(F.regexp_extract(x["raw"], r"(?U)^(#{1,6})\s+\S", 1))).otherwise(0)
+    body = F.transform(F.filter("every", lambda x: inside(x) | (py_strip(x["raw"]) != "")), lambda x: F.struct(x["line_no"].alias("line_no"), x["raw"].alias("raw"), depth(x).alias("depth")))
+    return body
+
+
+def shapes(files: DataFrame) -> DataFrame:
+    """files (extracted) with shapes: the findings of empty sections, bold bullets and thematic breaks."""
+    own = fenced(files.withColumn("zero", F.lit(0)), "zero", "every").withColumn("body", _body()).drop("zero", "every")
+    pairs = F.zip_with("body", F.slice("body", F.lit(2), F.size("body")), lambda x, after: F.struct(x.alias("x"), after["depth"].alias("after"), after.isNull().alias("last")))
+    bare = F.filter(pairs, lambda p: (p["x"]["depth"] > 0) & (p["last"] | ((p["after"] > 0) & (p["after"] <= p["x"]["depth"]))))
+
+    def empty(p: Column) -> Column:
+        text = py_strip(p["x"]["raw"])
+        return hit(p["x"]["line_no"], EMPTY, F.lit(0), F.lit("0c"), F.lit("empty section"), text, text)
+
+    # bullets in a row: the line numbers that match, cut where one doesn't follow the one before
+    own = own.withColumn("bold", told(F.col("lines"), lambda x, i: F.when(x.rlike(BOLD_BULLET), i + 1)))
+    opens = told(F.col("bold"), lambda n, i: F.when((i == 0) | (F.get("bold", i - 1) != n - 1), i))
+    own = own.withColumn("opens", opens)
+    runs = F.transform("opens", lambda i, k: F.struct(F.get("bold", i).alias("line"), (F.coalesce(F.get("opens", k + 1), F.size("bold")) - i).alias("n")))
+
+    def run(r: Column) -> Column:
+        n = r["n"].cast("string")
+        return hit(r["line"], BULLETS, F.lit(0), F.lit("6"), F.lit("bold-term bullet run"), F.concat(n, F.lit(" consecutive bullets")), F.concat(n, F.lit(" consecutive '**Term**: …' bullets starting here")))
+
+    # breaks outside front matter and fences; a rule under text is no break
+    ruled = F.filter("seen", lambda x: x["shown"] & x["raw"].rlike(THEMATIC) & (py_strip(F.coalesce(F.get("lines", x["line_no"] - 2), F.lit(""))) == ""))
+    own = own.withColumn("ruled", F.transform(ruled, lambda x: x["line_no"]))
+    n = F.size("ruled").cast("string")
+    many = hit(F.get("ruled", F.lit(0)), CONFETTI, F.lit(0), F.lit("6"), F.lit("separator confetti"), F.concat(n, F.lit(" horizontal rules")), F.concat(n, F.lit(" horizontal rules in one document, first one here")))
+    found = F.concat(
+        F.transform(bare, empty).cast(HIT),
+        F.transform(F.filter(runs, lambda r: r["n"] >= RUN_LEAST), run).cast(HIT),
+        F.when(F.size("ruled") >= BREAKS_LEAST, F.array(many)).otherwise(nothing(HIT)).cast(HIT),
+    )
+    return own.withColumn("shapes", F.when(is_markdown(), found).otherwise(nothing(HIT))).drop("body", "bold", "opens", "ruled")

@@ -71,21 +71,31 @@ def _paras(lines: str) -> str:
 
 
 RAW = f"""
-    raw_lines as (select doc_id as file_ord, doc_id || '.md' as path, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents where doc_id is not null),
+    plain_files(file_ord, content) as (select doc_id, text from documents union all select * from {values(P.ECHOES)}),
+    raw_lines as (select file_ord, file_ord || '.md' as path, unnest(string_split(content, chr(10))) as raw, generate_subscripts(string_split(content, chr(10)), 1) as line_no from plain_files),
     raw_prose as (select * from raw_lines where {STRIP.format("raw")} <> ''),{_paras("raw_prose")}"""
 NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 SENTENCES = f"""
     pieces as (select path, file_ord, start_line, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) as s,
         generate_subscripts(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) as nth from paras),
     sents as (select * from (select *, {NORM.format("s")} as key from pieces) where len(string_split(key, ' ')) >= 8)"""
+_PIECES = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {NORM.format('s')}), lambda s: len(string_split(s, ' ')) >= 8)"
 NEAR = f"""
-    w as (select path, file_ord, start_line, string_split({NORM.format("text")}, ' ') as w from paras),
-    sets as (select row_number() over (order by file_ord, start_line) as id, path, file_ord, start_line, array_to_string(w[1:12], ' ') || ' …' as head,
-        list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) as g from w where len(w) >= 25),
+    w as (select path, file_ord, start_line, string_split({NORM.format("text")}, ' ') as w, list_sort(list_distinct({_PIECES})) as keys from paras),
+    sets as (select row_number() over (order by file_ord, start_line) as id, path, file_ord, start_line, keys, array_to_string(w[1:12], ' ') || ' …' as head,
+        list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) as g from w where len(w) >= 25)"""
+NEAR_PAIRS = """
     ex as (select id, unnest(g) as g from sets),
     shared as (select a.id as a, b.id as b, count(*) as n from ex a join ex b on a.g = b.g and a.id < b.id group by 1, 2),
     near as (select x.path as a_path, x.file_ord as a_ord, x.start_line as a_start_line, x.head, y.path as b_path, y.file_ord as b_ord, y.start_line as b_start_line,
         n / (len(x.g) + len(y.g) - n) as j from shared join sets x on x.id = a join sets y on y.id = b where x.path <> y.path and n / (len(x.g) + len(y.g) - n) >= 0.5)"""
+NEAR_CLASSES = """
+    classes as (select g, keys, min(id) as id, min(path) as low, max(path) as high from sets group by g, keys),
+    ex as (select id, unnest(g) as g from classes),
+    shared as (select a.id as a, b.id as b, count(*) as n from ex a join ex b on a.g = b.g and a.id < b.id group by 1, 2),
+    near as (select p.path as a_path, p.start_line as a_start_line, r.path as b_path, r.start_line as b_start_line, n / (len(x.g) + len(y.g) - n) as j
+        from shared join classes x on x.id = a join classes y on y.id = b join sets p on p.id = a join sets r on r.id = b
+        where n / (len(x.g) + len(y.g) - n) >= 0.5 and least(x.low, y.low) <> greatest(x.high, y.high))"""
 
 RECORD = "file_ord % 20 in (1, 4, 6, 7)"
 SOURCE = "file_ord % 20 in (3, 5)"
@@ -140,7 +150,7 @@ ORACLES: dict[str, str] = {
     "corpus_split": _with(CORPUS, tail=f"select path, case when {SOURCE} then 'source' when {RECORD} then 'record' else 'kept' end as part from corpus"),
     "line_explode": _with(CORPUS, tail="select path, cast(line_no as int) as line_no, raw from lines"),
     "line_counts": _with(CORPUS, tail="select path, len(s) as lines from parts"),
-    "front_matter": _with(CORPUS, tail=f"select path, cast(case when file_ord % 4 = 0 then 3 else 0 end as bigint) as fm_end from corpus where {MD}"),
+    "front_matter": _with(CORPUS, tail=f"select path, cast(case when file_ord % 4 = 0 and file_ord % 20 <> 8 then 3 else 0 end as bigint) as fm_end from corpus where {MD}"),
     "fence_state": _with(CORPUS, STATES, tail="select path, cast(line_no as int) as line_no, is_fence, in_fence from fenced where is_fence or in_fence"),
     "html_comment_state": _with(CORPUS, STATES, tail="select path, cast(line_no as int) as line_no, in_comment from commented where in_comment or s like '<!--%'"),
     "prose_lines": _with(CORPUS, STATES, tail="select path, cast(line_no as int) as line_no, raw from prose"),
@@ -178,17 +188,37 @@ ORACLES: dict[str, str] = {
     "paragraphs": _with(RAW, tail="select path, cast(start_line as int) as start_line, text from paras"),
     "planted_paragraphs": _with(CORPUS, STATES, _paras("prose"), tail="select path, cast(start_line as int) as start_line, text from paras"),
     "sentence_echoes": _with(RAW, SENTENCES, tail="select substr(key, 1, 100) as text, count(*) as count, string_agg(path || ':' || start_line, ', ' order by file_ord, start_line, nth) as sites from sents group by key having count(distinct path) > 1"),
-    "near_dup_echoes": _with(RAW, NEAR, tail="select a_path, cast(a_start_line as int) as a_start_line, b_path, cast(b_start_line as int) as b_start_line, round_even(j, 2) as similarity from near"),
+    "sentence_echo_sites": _with(RAW, SENTENCES, tail="select key, path, cast(start_line as int) as start_line from sents where key in (select key from sents group by key having count(distinct path) > 1)"),
+    "near_dup_echoes": _with(RAW, NEAR, NEAR_CLASSES, tail="select a_path, cast(a_start_line as int) as a_start_line, b_path, cast(b_start_line as int) as b_start_line, round_even(j, 2) as similarity from near"),
+    "near_dup_members": _with(
+        RAW,
+        NEAR,
+        "classes as (select g, keys, min(id) as first from sets group by g, keys)",
+        tail="select s.path, cast(s.start_line as int) as start_line, f.path as class_path, cast(f.start_line as int) as class_line from sets s join classes c on c.g = s.g and c.keys = s.keys join sets f on f.id = c.first",
+    ),
     "echoes_first_per_pair": _with(
         RAW,
         SENTENCES,
         NEAR,
+        NEAR_PAIRS,
         "exact as (select distinct a.path as a_path, b.path as b_path from sents a join sents b on a.key = b.key and a.path <> b.path)",
         tail="""select head as text, cast(2 as bigint) as count, round_even(j, 2) as similarity, a_path || ':' || a_start_line || ', ' || b_path || ':' || b_start_line as sites
         from (select *, row_number() over (partition by a_path, b_path order by a_ord, a_start_line, b_ord, b_start_line) as nth from near anti join exact using (a_path, b_path)) where nth = 1""",
     ),
     "density": _with(CORPUS, R_, COMMENTS, _density, tail="select path, lines, findings, case when lines > 0 then round_even(100.0::double * findings / lines, 1) else 0.0::double end as per_100_lines from dens"),
     "clean_files": _with(CORPUS, R_, COMMENTS, _density, tail="select path from dens where findings = 0"),
+    "cross_scanner_lines": _with(
+        CORPUS,
+        STATES,
+        R_,
+        G_,
+        STRUCT,
+        "every as (select path, file_ord, line, 'revision:' || class as c from found_revision union all select path, file_ord, line, 'generation:' || class from found_generation "
+        + " ".join(f"union all select path, file_ord, line, 'generation:' || class from {t}" for t in ("phantoms", "empties", "bolds", "confetti"))
+        + ")",
+        tail=f"select path, cast(line as int) as line, array_to_string(list_sort(list(distinct c)), ', ') as classes from every where not ({RECORD}) group by path, file_ord, line",
+    ),
+    "class_roll_up": _with(CORPUS, R_, tail=f"select class, path, count(*) as findings from found_revision where not ({RECORD}) group by rollup(class, path)"),
     "class_totals": _with(CORPUS, R_, tail=f"select class, list_position([{', '.join(q(c) for c in REVISION.classes)}], class)::int as class_ord, count(*) as findings from found_revision where not ({RECORD}) group by class"),
     "report_totals": _with(
         CORPUS,
@@ -204,9 +234,10 @@ ORACLES: dict[str, str] = {
     "rewritten_files": _with(
         CORPUS,
         FIXED,
-        tail="""select pack, path, md5(string_agg(coalesce(new, raw), chr(10) order by line_no) || chr(10)) as content_md5 from (
-        select p.pack, l.path, l.line_no, l.raw, e.new, e.old from lines l join (select distinct pack, file_ord from edits) p on p.file_ord = l.file_ord
+        tail="""select pack, path, md5(string_agg(coalesce(new, raw) || case when brk in (chr(13), chr(13) || chr(10)) then chr(10) else brk end, '' order by line_no)) as content_md5 from (
+        select p.pack, l.path, l.line_no, l.raw, l.brk, e.new, e.old from lines l join (select distinct pack, file_ord from edits) p on p.file_ord = l.file_ord
         left join edits e on e.pack = p.pack and e.file_ord = l.file_ord and e.line_no = l.line_no) where old is null or new is not null group by pack, path""",
     ),
 }
-ORACLES |= {name: _with(CORPUS, _expected(pack.name), tail=f"{SHOW} found_{pack.name} where class = {q(c)}") for name, (pack, c) in CLASS_QUERIES.items()}
+ORACLES |= {name: _with(CORPUS, R_, tail=f"{SHOW} found_revision where class = {q(c)}") for name, (pack, c) in CLASS_QUERIES.items() if pack.name == P.R}
+ORACLES |= {name: ORACLES["dedupe_first_wins"] + f" and class = {q(c)}" for name, (pack, c) in CLASS_QUERIES.items() if pack.name == P.G}

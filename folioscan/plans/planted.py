@@ -184,11 +184,28 @@ JS: list[tuple[str, str | None, Hits, Hits]] = [
 BLOCKS: list[str] = [s for s, *_ in SINGLE] + ["\n".join(lines) for lines, _ in MULTI]
 SLOTS, STRIDE, STEP = 6, 5, 17
 FRONT = "---\ntitle: previously a draft\n---\n"
+#: Files without a finding have this in place of blocks; some files end in lines with breaks of every kind.
+CALM = "Plain line with nothing to say.\n"
+ODD = "Form\x0cfeed.\x0bTab\u2028Sep\x85End\x1cFour\u2029Five\r\nReturn\rLast\n"
+#: Files with near-identical paragraphs of short sentences, so that no sentence repeats: id, text.
+_short = "Cold brine flows past the old gate. Grey sand fills the low north dock. Thin rope holds the last blue skiff. Warm salt dries upon each flat stone. Soft rain ends before the noon bell."
+ECHOES: list[tuple[int, str]] = [
+    (900_000_000_001, "Some words first.\n\n" + _short),
+    (900_000_000_002, _short.replace("blue", "green")),
+    (900_000_000_003, "- an item\n" + _short.replace("noon", "dusk") + "\n\n" + _short.replace("Thin", "Damp")),
+    (900_000_000_004, _short + "\n\nThis one sentence of eight words stands in two files."),
+    (900_000_000_005, _short + " This one sentence of eight words stands in two files."),
+]
 CODE_TEXT, JS_TEXT = "\n".join(c for c, *_ in CODE), "\n".join(_JS)
 
 
+def own_id() -> Column:
+    """doc_id, or a number made from the text of a document without one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 8))
+
+
 def path_column() -> Column:
-    i, at = F.col("doc_id").cast("string"), F.col("doc_id") % 20
+    i, at = F.col("id").cast("string"), F.pmod("id", F.lit(20))
     base = F.concat_ws("/", F.lit("docs"), "lang", "source")
     name = F.concat(i, F.lit(".md"))
     return (
@@ -205,19 +222,34 @@ def path_column() -> Column:
 
 def planted(documents: DataFrame) -> DataFrame:
     """file_ord, path, content, a file for each document."""
+    documents = documents.withColumn("id", own_id())
+    at = F.pmod("id", F.lit(20))
     blocks = F.array(*[F.lit(b) for b in BLOCKS])
-    picked = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.element_at(blocks, ((F.col("doc_id") * STRIDE + i * STEP) % len(BLOCKS) + 1).cast("int")))
+    picked = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.element_at(blocks, (F.pmod(F.col("id") * STRIDE + i * STEP, F.lit(len(BLOCKS))) + 1).cast("int")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    md = F.concat(F.when(F.col("doc_id") % 4 == 0, FRONT).otherwise(""), text, F.lit("\n\n"), F.array_join(picked, "\n\n"), F.lit("\n"))
+    md = F.concat(F.when(F.pmod("id", F.lit(4)) == 0, FRONT).otherwise(""), text, F.lit("\n\n"), F.array_join(picked, "\n\n"), F.lit("\n"))
     comment = F.concat(F.lit("# "), F.regexp_replace(text, "\n", "\n# "), F.lit("\n"))
-    content = F.when(F.col("doc_id") % 20 == 3, F.concat(comment, F.lit(CODE_TEXT))).when(F.col("doc_id") % 20 == 5, F.concat(F.lit(JS_TEXT + "\n// "), F.regexp_replace(text, "\n", "\n// "))).otherwise(md)
-    return documents.where("doc_id is not null").select(F.col("doc_id").alias("file_ord"), path_column().alias("path"), content.alias("content"))
+    content = (
+        F.when(at == 3, F.concat(comment, F.lit(CODE_TEXT)))
+        .when(at == 5, F.concat(F.lit(JS_TEXT + "\n// "), F.regexp_replace(text, "\n", "\n// ")))
+        .when(at == 8, F.concat(text, F.lit("\n\n" + CALM)))
+        .when(at == 9, F.concat(md, F.lit(ODD)))
+        .otherwise(md)
+    )
+    return documents.select(F.col("id").alias("file_ord"), path_column().alias("path"), content.alias("content"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def plain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as they are, a markdown file each, and ECHOES."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(own_id().alias("file_ord"), F.coalesce("text", F.lit("")).alias("content"))
+    every = docs.unionByName(spark.createDataFrame(ECHOES, "file_ord long, content string"))
+    return every.select("file_ord", F.concat(F.col("file_ord").cast("string"), F.lit(".md")).alias("path"), "content")
+
+
 # ------------------------------------------------------------------- DuckDB
 
 
@@ -225,6 +257,9 @@ def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
 def corpus_sql() -> str:
     """The same corpus in DuckDB: common table expressions corpus(file_ord, path, content) and lines."""
     blocks = ", ".join(quote(b) for b in BLOCKS)
@@ -239,9 +274,10 @@ def corpus_sql() -> str:
             case doc_id % 20
                 when 3 then '# ' || replace(text, chr(10), chr(10) || '# ') || chr(10) || {quote(CODE_TEXT)}
                 when 5 then {quote(JS_TEXT)} || chr(10) || '// ' || replace(text, chr(10), chr(10) || '// ')
+                when 8 then text || chr(10) || chr(10) || {quote(CALM)}
                 else case when doc_id % 4 = 0 then {quote(FRONT)} else '' end || text || chr(10) || chr(10)
-                    || array_to_string(list_transform(range(0, {SLOTS}), lambda i: b[1 + (doc_id * {STRIDE} + i * {STEP}) % {len(BLOCKS)}]), chr(10) || chr(10)) || chr(10) end as content
+                    || array_to_string(list_transform(range(0, {SLOTS}), lambda i: b[1 + (doc_id * {STRIDE} + i * {STEP}) % {len(BLOCKS)}]), chr(10) || chr(10)) || chr(10) || case when doc_id % 20 = 9 then {quote(ODD)} else '' end end as content
         from documents, blocks),
-    split as (select file_ord, path, string_split(content, chr(10)) as s from corpus),
-    parts as (select file_ord, path, case when s[len(s)] = '' then s[1 : len(s) - 1] else s end as s from split),
-    lines as (select file_ord, path, unnest(s) as raw, unnest(range(1, len(s) + 1)) as line_no from parts)"""
+    split as (select file_ord, path, string_split_regex(content, {quote(_BREAKS)}) as s, regexp_extract_all(content, {quote(_BREAKS)}) as b from corpus),
+    parts as (select file_ord, path, case when s[len(s)] = '' then s[1 : len(s) - 1] else s end as s, b from split),
+    lines as (select file_ord, path, unnest(s) as raw, unnest(range(1, len(s) + 1)) as line_no, unnest(b[1 : len(s)]) as brk from parts)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collision_key, normalise, plain, split_lines
 from ..operators import echoes, fixes, match, paths, prose, report, structure
-from .planted import files
+from .planted import files, plain_files
 from .rules import GENERATION, REVISION, Pack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,29 +23,27 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _markdown(s: SparkSession, d: str) -> DataFrame:
+    return files(s, d).where(paths.comment_syntax(F.col("path")).isNull())
+
+
 def _lines(s: SparkSession, d: str) -> DataFrame:
-    corpus = files(s, d)
-    return prose.lines(corpus.where(paths.comment_syntax(F.col("path")).isNull()))
+    return prose.lines(_markdown(s, d))
 
 
-def _raw(s: SparkSession, d: str) -> DataFrame:
-    """The documents as they are, a markdown file each."""
-    docs = s.read.parquet(f"{d}/documents.parquet").where("doc_id is not null")
-    return docs.select(F.col("doc_id").alias("file_ord"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+def _seen(s: SparkSession, d: str) -> DataFrame:
+    """Every line of markdown with its states."""
+    return prose.unfolded(prose.annotated(prose.with_lines(_markdown(s, d))), "seen", "path")
 
 
 def _paragraphs(s: SparkSession, d: str) -> DataFrame:
-    return echoes.paragraphs(prose.prose(prose.lines(_raw(s, d))))
+    return echoes.paragraphs(prose.extracted(plain_files(s, d)))
 
 
 def _standing(s: SparkSession, d: str) -> DataFrame:
     return paths.collect(files(s, d), include_code=True)[0]
 
 
-def _counts(corpus: DataFrame) -> DataFrame:
-    return prose.line_counts(corpus, prose.readable(corpus))
-
-
 # --------------------------------------------------------------- files and lines
 
 
@@ -83,22 +81,22 @@ def line_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def front_matter(s: SparkSession, d: str) -> DataFrame:
-    return prose.front_matter(_lines(s, d)).where("line_no = 1").select("path", F.col("fm_end").cast("long").alias("fm_end"))
+    return prose.annotated(prose.with_lines(_markdown(s, d))).select("path", F.col("fm_end").cast("long").alias("fm_end"))
 
 
 @query
 def fence_state(s: SparkSession, d: str) -> DataFrame:
-    return prose.fences(prose.front_matter(_lines(s, d))).where("is_fence or in_fence").select("path", "line_no", "is_fence", "in_fence")
+    return _seen(s, d).where("is_fence or in_fence").select("path", "line_no", "is_fence", "in_fence")
 
 
 @query
 def html_comment_state(s: SparkSession, d: str) -> DataFrame:
-    return prose.annotated(_lines(s, d)).where("shown and (in_comment or startswith(stripped, '<!--'))").select("path", "line_no", "in_comment")
+    return _seen(s, d).where("shown and (in_comment or startswith(stripped, '<!--'))").select("path", "line_no", "in_comment")
 
 
 @query
 def prose_lines(s: SparkSession, d: str) -> DataFrame:
-    return prose.prose(_lines(s, d)).select("path", "line_no", "raw")
+    return prose.readable(_markdown(s, d)).select("path", "line_no", "raw")
 
 
 @query
@@ -114,7 +112,7 @@ def normalised_text(s: SparkSession, d: str) -> DataFrame:
 @query
 def code_comments(s: SparkSession, d: str) -> DataFrame:
     corpus = files(s, d).where(paths.comment_syntax(F.col("path")).isNotNull())
-    return prose.comments(prose.lines(corpus)).select("path", "line_no", F.col("raw").alias("comment"))
+    return prose.readable(corpus).select("path", "line_no", F.col("raw").alias("comment"))
 
 
 # --------------------------------------------------------------------- findings
@@ -127,7 +125,7 @@ def _only(pack: Pack, cls: str) -> Pack:
 
 def _class_query(pack: Pack, cls: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        return match.text_findings(prose.readable(files(s, d)), _only(pack, cls)).select(*SHOWN)
+        return match.findings(files(s, d), _only(pack, cls)).where(F.col("class") == cls).select(*SHOWN)
 
     return run
 
@@ -138,7 +136,7 @@ QUERIES |= {name: _class_query(*of) for name, of in CLASS_QUERIES.items()}
 
 @query
 def suppressed_hits(s: SparkSession, d: str) -> DataFrame:
-    text = prose.prose(_lines(s, d))
+    text = prose.extracted(_markdown(s, d))
     one = lambda p: match.raw_rule_hits(text, p).select(F.lit(p.name).alias("pack"), "path", "line", "label", "match", "suppressed")
     return one(REVISION).unionByName(one(GENERATION))
 
@@ -150,8 +148,8 @@ def path_suppressed(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def wrap_findings(s: SparkSession, d: str) -> DataFrame:
-    text = prose.readable(files(s, d))
-    one = lambda p: match.text_findings(text, p).where(F.col("pass") == match.WRAP).select(F.lit(p.name).alias("pack"), *SHOWN)
+    text = prose.extracted(files(s, d))
+    one = lambda p: match.rows_of(match.scanned(text, p)).where(F.col("pass") == match.WRAP).select(F.lit(p.name).alias("pack"), *SHOWN)
     return one(REVISION).unionByName(one(GENERATION))
 
 
@@ -175,22 +173,26 @@ def class_family_filter(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def phantom_links(s: SparkSession, d: str) -> DataFrame:
-    return structure.phantom_links(prose.prose(_lines(s, d)), files(s, d).select("path")).select(*SHOWN)
+    return structure.phantom_links(prose.extracted(files(s, d)), files(s, d).select("path")).select(*SHOWN)
+
+
+def _shapes(s: SparkSession, d: str, label: str) -> DataFrame:
+    return match.rows_of(structure.shapes(prose.extracted(files(s, d))), "shapes").where(F.col("label") == label).select(*SHOWN)
 
 
 @query
 def empty_sections(s: SparkSession, d: str) -> DataFrame:
-    return structure.empty_sections(files(s, d)).select(*SHOWN)
+    return _shapes(s, d, "empty section")
 
 
 @query
 def bold_runs(s: SparkSession, d: str) -> DataFrame:
-    return structure.bold_runs(files(s, d)).select(*SHOWN)
+    return _shapes(s, d, "bold-term bullet run")
 
 
 @query
 def separator_confetti(s: SparkSession, d: str) -> DataFrame:
-    return structure.separator_confetti(files(s, d)).select(*SHOWN)
+    return _shapes(s, d, "separator confetti")
 
 
 @query
@@ -215,7 +217,7 @@ def paragraphs(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def planted_paragraphs(s: SparkSession, d: str) -> DataFrame:
-    return echoes.paragraphs(prose.prose(_lines(s, d))).select("path", "start_line", "text")
+    return echoes.paragraphs(prose.extracted(_markdown(s, d))).select("path", "start_line", "text")
 
 
 @query
@@ -223,9 +225,21 @@ def sentence_echoes(s: SparkSession, d: str) -> DataFrame:
     return echoes.sentence_echoes(_paragraphs(s, d))
 
 
+@query
+def sentence_echo_sites(s: SparkSession, d: str) -> DataFrame:
+    return echoes.sites(echoes.sentences(_paragraphs(s, d))).select("key", "path", "start_line")
+
+
 @query
 def near_dup_echoes(s: SparkSession, d: str) -> DataFrame:
-    return echoes.near_paragraphs(_paragraphs(s, d)).select("a_path", "a_start_line", "b_path", "b_start_line", "similarity")
+    """Pairs of classes of equal paragraphs, by their first members."""
+    return echoes.near_paragraphs(_paragraphs(s, d))[0].drop("a_head")
+
+
+@query
+def near_dup_members(s: SparkSession, d: str) -> DataFrame:
+    """The class of every long paragraph."""
+    return echoes.near_paragraphs(_paragraphs(s, d), members_only=True)[1]
 
 
 @query
@@ -238,14 +252,23 @@ def echoes_first_per_pair(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def density(s: SparkSession, d: str) -> DataFrame:
-    corpus = _standing(s, d)
-    return report.density(match.findings(corpus, REVISION), _counts(corpus)).select("path", "lines", "findings", "per_100_lines")
+    return report.density_of(_standing(s, d), REVISION).select("path", "lines", "findings", "per_100_lines")
 
 
 @query
 def clean_files(s: SparkSession, d: str) -> DataFrame:
+    return report.clean_files(report.density_of(_standing(s, d), REVISION)).select("path")
+
+
+@query
+def cross_scanner_lines(s: SparkSession, d: str) -> DataFrame:
     corpus = _standing(s, d)
-    return report.clean_files(report.density(match.findings(corpus, REVISION), _counts(corpus))).select("path")
+    return report.cross_scanner(match.findings(corpus, REVISION), match.findings(corpus, GENERATION, files(s, d).select("path"))).select("path", "line", "classes")
+
+
+@query
+def class_roll_up(s: SparkSession, d: str) -> DataFrame:
+    return report.roll_up(match.findings(_standing(s, d), REVISION))
 
 
 @query
