@@ -25,16 +25,21 @@ def is_text(path: str) -> bool:
     return name.endswith((".md", ".markdown")) or name in HASH_NAMES or os.path.splitext(name)[1].lower().lstrip(".") in SYNTAX
 
 
-def listed(paths: list[str], everything: bool = False) -> list[tuple[str, bool]]:
-    """(path, named) in order: a folder's own names sorted, then its subfolders; repeats stay."""
+def listed(paths: list[str], everything: bool = False, base: str = "") -> list[tuple[str, bool]]:
+    """(path, named) in order: a folder's own names sorted, then its subfolders; repeats stay.
+
+    base: the folder that relative paths start from; paths are told as they were given.
+    """
     out: list[tuple[str, bool]] = []
     for p in paths:
-        if not os.path.isdir(p):
+        if not os.path.isdir(os.path.join(base, p)):
             if everything or is_text(p):
                 out.append((p, True))
             continue
-        for root, folders, names in os.walk(p):
+        top = os.path.join(base, p)
+        for at, folders, names in os.walk(top):
             folders[:] = sorted(set(folders) - PRUNED)
+            root = p if at == top else os.path.join(p, os.path.relpath(at, top))
             out += [(os.path.join(root, n), False) for n in sorted(names) if everything or is_text(n)]
     return out
 
@@ -59,10 +64,11 @@ class TextFiles(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options) -> None:
         self.paths = options.get("paths", options.get("path", "")).split("\n")
+        self.base = options.get("base", "")
         self.content = options.get("content", "true").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        rows = [(i, p, named) for i, (p, named) in enumerate(listed([p for p in self.paths if p], not self.content))]
+        rows = [(i, p, named) for i, (p, named) in enumerate(listed([p for p in self.paths if p], not self.content, self.base))]
         return [_Chunk(rows[i : i + CHUNK]) for i in range(0, len(rows), CHUNK)] or [_Chunk([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -70,7 +76,7 @@ class _Reader(DataSourceReader):
             content, error = None, None
             if self.content:
                 try:
-                    with open(path, "rb") as f:
+                    with open(os.path.join(self.base, path), "rb") as f:
                         content = f.read().decode("utf-8")
                 except (OSError, UnicodeDecodeError) as e:
                     error = f"{type(e).__name__}: {e}"
@@ -80,10 +86,10 @@ class _Reader(DataSourceReader):
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Readable text files under paths; see SCHEMA."""
     spark.dataSource.register(TextFiles)
-    return spark.read.format("folioscan").option("paths", "\n".join(paths)).load()
+    return spark.read.format("folioscan").option("paths", "\n".join(paths)).option("base", os.getcwd()).load()
 
 
 def list_all(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every file's path under paths, unread: what relative links may point to."""
     spark.dataSource.register(TextFiles)
-    return spark.read.format("folioscan").option("paths", "\n".join(paths)).option("content", "false").load().select("path")
+    return spark.read.format("folioscan").option("paths", "\n".join(paths)).option("base", os.getcwd()).option("content", "false").load().select("path")
