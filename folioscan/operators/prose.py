@@ -2,7 +2,7 @@
 
 A corpus is (file_ord long, path string, content string), one row a file. All that
 a line's meaning depends on is in its own file, so everything here is array work
-within the row: no exchange and no window. Where a state runs from line to line
+within the row: no window, and no exchange unless there are fewer splits than cores. Where a state runs from line to line
 (fences, comments), the lines are cut into segments at the few lines that change
 it, and each segment is a slice, so the work stays in proportion to the lines.
 """
@@ -71,11 +71,19 @@ def segments(items: str, cuts: Column | str, each: Callable[[Column, Column, Col
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends)), segment))
 
 
+def spread(corpus: DataFrame) -> DataFrame:
+    """corpus over at least as many partitions as there are cores. A table that is read in that many
+    splits, as any large one is, stays where it is; only a smaller one is exchanged.
+    """
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return corpus if corpus._jdf.queryExecution().toRdd().getNumPartitions() >= cores else corpus.repartition(cores, "file_ord")
+
+
 def with_lines(corpus: DataFrame, keep_content: bool = False) -> DataFrame:
     """file_ord, path, kind and lines (an array)."""
     more = ["content"] if keep_content else []
     kind = F.when(comment_syntax(F.col("path")).isNull(), "markdown").otherwise("code")
-    return corpus.select("file_ord", "path", kind.alias("kind"), split_lines(F.col("content")).alias("lines"), *more)
+    return spread(corpus).select("file_ord", "path", kind.alias("kind"), split_lines(F.col("content")).alias("lines"), *more)
 
 
 def lines(corpus: DataFrame) -> DataFrame:
