@@ -33,6 +33,11 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def holds(c: Column, pattern: str) -> Column:
+    """As rlike, for long patterns in lambdas: there rlike makes a new string of the whole pattern for each value, while this keeps the compiled one."""
+    return F.regexp_instr(c, F.lit(pattern)) > 0
+
+
 def split_lines(c: Column) -> Column:
     """Lines of a text without their breaks; a closing break opens no further line. A null text has none."""
     own = F.coalesce(c, F.lit(""))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, py_lstrip, py_strip, spans
+from ..functions.text import holds, let, py_lstrip, py_strip, spans
 from ..plans.rules import EMOJI, GENERATION, Pack
 from ..plans.triggers import pack_triggers, rule_trigger
 from .prose import BLOCK_START, extracted, nothing, settled, unfolded
@@ -68,7 +68,7 @@ def line_hits(pack: Pack, x: Column) -> Column:
     matching = []
     for i, r in pack.line_rules():
         hay = x["raw"] if r.raw else x["plain"]
-        when = spaced(hay).rlike(rule_trigger(r)) & hay.rlike(r.regex)
+        when = holds(spaced(hay), rule_trigger(r)) & hay.rlike(r.regex)
         when = heading & when if r.heading_only else md & when if r.raw else when
         if r.cls == pack.long_table_class:
             when = when & ~(table & (F.length(x["raw"]) > 200))
@@ -91,7 +91,7 @@ def line_hits(pack: Pack, x: Column) -> Column:
 def wrap_hits(pack: Pack, x: Column, following: Column, joined: Column) -> Column:
     """Hits across a line's end: x and the line of prose after it, joined. The first of each class."""
     cut = F.length(x["plain"])
-    matching = [F.when(spaced(joined).rlike(rule_trigger(r)) & joined.rlike(r.regex), F.lit(i)) for i, r in pack.wrap_rules()]
+    matching = [F.when(holds(spaced(joined), rule_trigger(r)) & joined.rlike(r.regex), F.lit(i)) for i, r in pack.wrap_rules()]
 
     def worked_out(i: Column) -> Column:
         def of(rule: Column) -> Column:
@@ -116,15 +116,15 @@ def scanned(files: DataFrame, pack: Pack) -> DataFrame:
     none = nothing(HIT)
 
     def on_line(x: Column) -> Column:
-        def of(holds: Column) -> Column:
-            may = holds | (md & py_lstrip(x["raw"]).startswith("#"))
+        def of(held: Column) -> Column:
+            may = held | (md & py_lstrip(x["raw"]).startswith("#"))
             if raw_triggers:
-                may = may | (md & spaced(x["raw"]).rlike(raw_triggers))
+                may = may | (md & holds(spaced(x["raw"]), raw_triggers))
             if pack.emoji:
                 may = may | (md & x["raw"].rlike(EMOJI))
-            return F.struct(holds.alias("holds"), F.when(may, line_hits(pack, x)).otherwise(none).alias("hits"))
+            return F.struct(held.alias("holds"), F.when(may, line_hits(pack, x)).otherwise(none).alias("hits"))
 
-        return let(spaced(x["plain"]).rlike(triggers), of)
+        return let(holds(spaced(x["plain"]), triggers), of)
 
     if not pack.rules and not pack.emoji:
         return files.withColumn("hits", none)
@@ -137,7 +137,7 @@ def scanned(files: DataFrame, pack: Pack) -> DataFrame:
         x, following = F.get("prose", i), F.get("prose", i + 1)
         here, there = F.get("on_line", i), F.get("on_line", i + 1)
         end = F.concat_ws(" ", F.lit(""), F.substring(x["plain"], -longest, longest), F.substring(following["plain"], 1, longest), F.lit(""))
-        holds = here["holds"] | there["holds"] | end.rlike(triggers)
+        held = here["holds"] | there["holds"] | holds(end, triggers)
         closed = md & py_lstrip(x["raw"]).rlike(r"^[#|]")
         joins = (following["line_no"] == x["line_no"] + 1) & ~closed & ~following["raw"].rlike(BLOCK_START)
 
@@ -145,7 +145,7 @@ def scanned(files: DataFrame, pack: Pack) -> DataFrame:
             seen = F.transform(F.concat(here["hits"], there["hits"]), lambda h: h["class"])
             return let(seen, lambda s: F.filter(wrap_hits(pack, x, following, joined), lambda h: ~F.array_contains(s, h["class"])))
 
-        return F.when(joins & holds, let(F.concat_ws(" ", x["plain"], following["plain"]), of)).otherwise(none)
+        return F.when(joins & held, let(F.concat_ws(" ", x["plain"], following["plain"]), of)).otherwise(none)
 
     wraps = F.when(F.size("prose") > 1, F.transform(F.sequence(F.lit(0), F.size("prose") - 2), across)).otherwise(F.array().cast(f"array<{HIT}>"))
     return settled(own.withColumn("hits", F.flatten(F.concat(on_lines, wraps))), *files.columns, "hits")
@@ -173,7 +173,7 @@ def raw_rule_hits(files: DataFrame, pack: Pack) -> DataFrame:
         for i, r in pack.line_rules():
             if r.suppress or r.path_suppress:
                 hay = x["raw"] if r.raw else x["plain"]
-                here = spaced(hay).rlike(rule_trigger(r)) & hay.rlike(r.regex)
+                here = holds(spaced(hay), rule_trigger(r)) & hay.rlike(r.regex)
                 rule = F.get(_table(pack), F.lit(i))
                 rows.append(F.when(here, F.struct(x["line_no"].alias("line"), F.lit(r.label).alias("label"), py_strip(F.regexp_extract(hay, r.regex, 0)).alias("match"), (~_allowed(rule, hay)).alias("suppressed"))))
         return F.filter(F.array(*rows), lambda h: h.isNotNull())

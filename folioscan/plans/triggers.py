@@ -20,7 +20,9 @@ MOST = 400
 #: Characters beyond ASCII that a pattern without regard to case takes for a letter of ASCII.
 ODD = {"s": "ſ", "i": "ıİ", "k": "\u212a"}
 #: Stands for a word border in a string, and what is then beside the string: a rule's own border asks for more.
-BORDER, BESIDE = "\0", "[^A-Za-z0-9_]"
+#: Java looks it up in a table, as it does a class of single Latin letters; ranges are a chain of calls for each character.
+BORDER, BESIDE = "\0", r"\W"
+PRINTED = [chr(c) for c in range(32, 127)]
 
 
 def _read(tree) -> tuple[set[str] | None, set[str] | None]:
@@ -86,13 +88,22 @@ def literals(regex: str) -> set[str]:
 
 
 def _either(c: str) -> str:
-    """A pattern of the character in either case."""
+    """A pattern of the character in either case; single letters, no ranges, see BESIDE."""
     every = sorted({x for x in (c, c.lower(), c.upper()) if len(x) == 1} | set(ODD.get(c, "")))
     return re.escape(c) if len(every) == 1 else f"[{''.join(every)}]"
 
 
+def _unlike(chars: list[str]) -> str:
+    """Not before a printed character of ASCII that is none of chars in either case: one lookup passes over them all."""
+    own = {x for c in chars for x in (c.lower(), c.upper())}
+    return "(?![" + "".join(re.escape(c) for c in PRINTED if c not in own) + "])"
+
+
 def trie(strings: set[str]) -> str:
-    """A pattern that finds any of the strings, in either case, in text with a blank before and after it; each branch begins with a character of its own."""
+    """A pattern that finds any of the strings, in either case, in text with a blank before and after it; each branch begins with a character of its own.
+
+    Branches are tried in turn, so many of them are put in groups, and groups of groups, each tried only before its own characters.
+    """
     few = [s for s in strings if not any(t != s and t in s for t in strings)]
     tree: dict = {}
     for s in few:
@@ -100,9 +111,20 @@ def trie(strings: set[str]) -> str:
         for c in s:
             at = at.setdefault(c, {})
 
+    def either(parts: list[str]) -> str:
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    def grouped(edges: list[tuple[str, dict]]) -> list[str]:
+        if len(edges) <= 4:
+            return [_either(c) + write(sub) for c, sub in edges]
+        n = -(-len(edges) // 4)
+        groups = [edges[i : i + n] for i in range(0, len(edges), n)]
+        return [_unlike([c for c, _ in g]) + either(grouped(g)) for g in groups]
+
     def write(node: dict) -> str:
-        parts = [(BESIDE if c == BORDER else _either(c)) + write(sub) for c, sub in sorted(node.items())]
-        return "" if not parts else parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+        border = [BESIDE + write(sub) for c, sub in node.items() if c == BORDER]
+        parts = border + grouped(sorted(((c, sub) for c, sub in node.items() if c != BORDER), key=lambda e: e[0]))
+        return either(parts) if parts else ""
 
     return write(tree)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from folioscan.operators import match
 from folioscan.plans.planted import MULTI, SINGLE
 from folioscan.plans.rules import GENERATION, PACKS, REVISION
 from folioscan.plans.triggers import bordered, pack_triggers, rule_trigger
@@ -45,3 +47,43 @@ def test_planted_hits_hold_their_rules_triggers():
             ends = f"{lines[first][-longest:]} {lines[first + 1][:longest]}"
             assert any(_found(pack_triggers(PACKS[pack])[0], x) for x in (lines[first], lines[first + 1], ends))
     assert seen > 50
+
+
+@pytest.mark.parametrize("pack", [REVISION, GENERATION], ids=lambda p: p.name)
+def test_few_branches_and_plain_classes(pack):
+    """A position of the text costs a few lookups: no ranges in a class, and no more than five branches in a row."""
+    pattern = pack_triggers(pack)[0]
+    assert not re.search(r"A-Z|a-z|0-9", pattern)
+    tried, inside, i = [1], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside or c == "[":
+            inside = c != "]"
+        elif c == "(":
+            tried.append(1)
+        elif c == ")":
+            assert tried.pop() <= 5
+        elif c == "|":
+            tried[-1] += 1
+        i += 1
+    assert tried == [1]
+
+
+def test_every_string_is_found_in_either_case():
+    for pack in (REVISION, GENERATION):
+        for r in pack.rules:
+            for s in () if r.heading_only else bordered(r.regex):
+                text = s.replace("\0", " ")
+                for t in (text, text.upper(), text.title(), f"x. {text}!"):
+                    assert _found(rule_trigger(r), t), (r.label, t)
+                    assert r.raw or _found(pack_triggers(pack)[0], t)
+
+
+def test_long_patterns_are_kept_compiled(spark):
+    """In lambdas rlike makes a string of its whole pattern for each line."""
+    for pack in (REVISION, GENERATION):
+        said = str(match.line_hits(pack, F.col("x"))).lower()
+        assert "rlike(concat(' '" not in said
+        assert said.count("regexp_instr(concat(' '") == len(pack.rules)
