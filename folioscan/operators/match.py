@@ -9,8 +9,6 @@ across the end of the first, so they aren't searched again.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,14 +180,19 @@ def raw_rule_hits(files: DataFrame, pack: Pack) -> DataFrame:
 
 
 def findings(corpus: DataFrame, pack: Pack, listing: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
-    """All findings of a pack. listing: (path) of what exists, for relative links; the corpus by default.
-    files: the corpus as scanned() gives it, if that is at hand.
+    """All findings of a pack, of the passes that its classes need; each file is read and scanned once.
+
+    listing: (path) of what exists, for relative links; the corpus by default. files: the corpus as scanned() gives it, if that is at hand.
     """
     from . import structure
 
     files = files if files is not None else scanned(extracted(corpus), pack)
-    found = rows_of(files)
     if pack.name != GENERATION.name:
-        return found
-    more = [structure.phantom_links(files, listing if listing is not None else corpus.select("path")), rows_of(structure.shapes(files), "shapes")]
-    return first_wins(reduce(DataFrame.unionByName, more, found))
+        return rows_of(files)
+    hits, links = ["hits"], "0d" in pack.classes
+    if {"0c", "6"} & set(pack.classes):
+        files, hits = structure.shapes(files), [*hits, "shapes"]
+    if links:
+        files, hits = structure.linked(files), [*hits, "links"]
+    found = rows_of(files, F.concat(*hits))
+    return first_wins(structure.without_present(found, listing if listing is not None else corpus.select("path")) if links else found)

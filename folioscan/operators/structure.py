@@ -22,26 +22,42 @@ def decoded(target: Column) -> Column:
     return F.coalesce(F.try_url_decode(safe), target)
 
 
-def links(files: DataFrame) -> DataFrame:
-    """Relative link targets of prose: file_ord, path, line_no, stripped, nth, target, resolved."""
-    text = unfolded(files.where(is_markdown()), "prose", "file_ord", "path")
-    all_ = text.select("file_ord", "path", "line_no", "stripped", F.posexplode(F.regexp_extract_all(mask_code(F.col("raw")), F.lit(LINK), F.lit(1))).alias("nth", "target"))
-    kept = all_.where(~F.col("target").rlike(r"^(?:[A-Za-z][-+.A-Za-z0-9]*:|[#/{<])") & ~F.col("target").contains("$"))
-    bare = decoded(F.regexp_replace("target", r"[#?].*$", ""))
-    folder = F.regexp_replace("path", "[^/]*$", "")
-    return kept.withColumn("bare", bare).where("bare <> ''").withColumn("resolved", normal_path(F.when(F.col("bare").startswith("/"), F.col("bare")).otherwise(F.concat(folder, "bare")))).drop("bare")
+def _resolved(path: Column, target: Column) -> Column:
+    """The path that a target stands for; empty or null if it names none."""
+    bare = decoded(F.regexp_replace(target, r"[#?].*$", ""))
+    whole = normal_path(F.when(bare.startswith("/"), bare).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), bare)))
+    return F.when(bare != "", whole)
 
 
-def phantom_links(files: DataFrame, listing: DataFrame) -> DataFrame:
-    """Relative links to what listing (path: files) doesn't hold, as a file or a folder; the first of a line."""
+def linked(files: DataFrame) -> DataFrame:
+    """files (extracted) with links: the relative link targets of prose, as hits by their place in the line."""
+
+    def of(x: Column) -> Column:
+        targets = F.regexp_extract_all(mask_code(x["raw"]), F.lit(LINK), F.lit(1))
+        one = lambda t, nth: F.when(~t.rlike(r"^(?:[A-Za-z][-+.A-Za-z0-9]*:|[#/{<])") & ~t.contains("$"), hit(x["line_no"], PHANTOM, nth, F.lit("0d"), F.lit("phantom relative link"), t, x["stripped"]))
+        return told(targets, one)
+
+    found = F.flatten(F.transform(F.filter("prose", lambda x: x["raw"].contains("](")), of)).cast(HIT)
+    return files.withColumn("links", F.when(is_markdown(), found).otherwise(nothing(HIT)))
+
+
+def without_present(found: DataFrame, listing: DataFrame) -> DataFrame:
+    """found without the links to what listing (path: files) holds, as a file or a folder; all other findings stay."""
     known = listing.select(normal_path(F.col("path")).alias("p"))
     steps = F.split("p", "/")
     folders = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("there"))
     there = folders.where("there <> ''").distinct()
-    lost = links(files).where("resolved <> ''").join(there, F.col("resolved") == F.col("there"), "left_anti")
-    first = lost.groupBy("file_ord", "path", "line_no", "stripped").agg(F.min_by("target", "nth").alias("target"))
-    one = hit(F.col("line_no"), PHANTOM, F.lit(0), F.lit("0d"), F.lit("phantom relative link"), F.col("target"), F.col("stripped"))
-    return first.select("file_ord", "path", one.alias("h")).select("file_ord", "path", "h.*").select(*FOUND)
+    is_link = F.col("pass") == PHANTOM
+    # what is no link gets a key of its file's that no path has, so that it meets nothing and all keys together stay spread
+    named = found.withColumn("resolved", F.when(is_link, _resolved(F.col("path"), F.col("match"))).otherwise(F.concat(F.lit("\0"), "path"))).where("resolved <> ''")
+    return named.join(there, F.col("resolved") == F.col("there"), "left_anti").select(*FOUND)
+
+
+def phantom_links(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """Relative links to what listing (path: files) doesn't hold, as a file or a folder; the first of a line."""
+    lost = without_present(unfolded(linked(files), "links", "file_ord", "path", first="class").select(*FOUND), listing)
+    first = lost.groupBy("file_ord", "path", "line", "class", "label", "text", "pass").agg(F.min_by("match", "ordinal").alias("match"))
+    return first.withColumn("ordinal", F.lit(0)).select(*FOUND)
 
 
 def _body() -> Column:
