@@ -120,7 +120,7 @@ def code_comments(s: SparkSession, d: str) -> DataFrame:
 
 def _only(pack: Pack, cls: str) -> Pack:
     """The pack's rules of one class: classes don't bear on one another."""
-    return replace(pack, rules=tuple(r for r in pack.rules if r.cls == cls), emoji=pack.emoji and cls == "5")
+    return replace(pack, rules=tuple(r for r in pack.rules if r.cls == cls), emoji=pack.emoji and cls == "5", classes=(cls,))
 
 
 def _class_query(pack: Pack, cls: str) -> Query:
