@@ -99,3 +99,8 @@ def collect(files: DataFrame, excludes: list[str] = (), own: list[str] = (), inc
 def class_matches(cls: Column, want: str) -> Column:
     """Exact, or a family: what follows is letters alone. An empty want means all."""
     return F.lit(True) if not want else (cls == want) | (cls.startswith(want) & F.substring(cls, len(want) + 1, 1 << 10).rlike(r"(?U)^\p{L}+$"))
+
+
+def in_family(cls: str, want: str) -> bool:
+    """class_matches() of plain strings."""
+    return not want or cls == want or (cls.startswith(want) and cls[len(want) :].isalpha())

@@ -118,9 +118,9 @@ def code_comments(s: SparkSession, d: str) -> DataFrame:
 # --------------------------------------------------------------------- findings
 
 
-def _only(pack: Pack, cls: str) -> Pack:
-    """The pack's rules of one class: classes don't bear on one another."""
-    return replace(pack, rules=tuple(r for r in pack.rules if r.cls == cls), emoji=pack.emoji and cls == "5", classes=(cls,))
+def _only(pack: Pack, *classes: str) -> Pack:
+    """The pack's rules of these classes: classes don't bear on one another."""
+    return replace(pack, rules=tuple(r for r in pack.rules if r.cls in classes), emoji=pack.emoji and "5" in classes, classes=classes)
 
 
 def _class_query(pack: Pack, cls: str) -> Query:
@@ -166,8 +166,10 @@ def revision_findings(s: SparkSession, d: str) -> DataFrame:
 @query
 def class_family_filter(s: SparkSession, d: str) -> DataFrame:
     wanted = ("0", "0.5", "1", "10", "0a")
+    asked = [c for c in REVISION.classes if any(paths.in_family(c, w) for w in wanted)]
+    found = match.findings(files(s, d), _only(REVISION, *asked))
     hits = F.filter(F.array(*[F.when(paths.class_matches(F.col("class"), w), F.lit(w)) for w in wanted]), lambda w: w.isNotNull())
-    counts = match.findings(files(s, d), REVISION).select(F.explode(hits).alias("wanted")).groupBy("wanted").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.select(F.explode(hits).alias("wanted")).groupBy("wanted").agg(F.count(F.lit(1)).alias("n"))
     return s.createDataFrame([(w,) for w in wanted], "wanted string").join(counts, "wanted", "left").select("wanted", F.coalesce("n", F.lit(0)).alias("findings"))
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from folioscan.operators import match, prose, structure
+from folioscan.operators import match, paths, prose, structure
 from folioscan.plans.queries import QUERIES
-from folioscan.plans.rules import GENERATION
+from folioscan.plans.rules import GENERATION, REVISION
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def _scans(df) -> int:
     return df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet")
 
 
-@pytest.mark.parametrize(("name", "most"), [("dedupe_first_wins", 2), ("sl_findings_class_0d", 2), ("sl_findings_class_1", 1), ("sl_findings_class_0b", 1), ("sl_findings_class_3", 1), ("sl_findings_class_4", 1), ("sl_findings_class_6", 1)])
+@pytest.mark.parametrize(("name", "most"), [("dedupe_first_wins", 2), ("sl_findings_class_0d", 2), ("sl_findings_class_1", 1), ("sl_findings_class_0b", 1), ("sl_findings_class_3", 1), ("sl_findings_class_4", 1), ("sl_findings_class_6", 1), ("class_family_filter", 1)])
 def test_reads(spark, name, most):
     assert _scans(QUERIES[name](spark, SF)) == most
 
@@ -38,3 +39,16 @@ def test_first_lost_link_of_a_line(spark):
     assert {(r["path"], r["line"], r["match"]) for r in found if r["class"] == "0d"} == links
     assert [(r["line"], r["match"]) for r in found if r["class"] == "1"] == [(2, "robust")]
     assert len(found) == 3
+
+
+def test_families_of_plain_strings(spark):
+    pairs = [(c, w) for c in (*REVISION.classes, "", "0é", "1b", "0a1") for w in ("", "0", "0.5", "1", "10", "0a", "é")]
+    rows = spark.createDataFrame(pairs, "c string, w string")
+    for w in {w for _, w in pairs}:
+        got = {r[0] for r in rows.where((F.col("w") == w) & paths.class_matches(F.col("c"), w)).select("c").collect()}
+        assert got == {c for c, x in pairs if x == w and paths.in_family(c, w)}
+
+
+def test_unasked_classes_are_not_tried(spark):
+    said = QUERIES["class_family_filter"](spark, SF)._jdf.queryExecution().logical().toJSON()
+    assert "prior-state reference" in said and "salience superlative" not in said
