@@ -9,6 +9,8 @@ across the end of the first, so they aren't searched again.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,20 +165,25 @@ def first_wins(found: DataFrame) -> DataFrame:
     return found.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def raw_rule_hits(files: DataFrame, pack: Pack) -> DataFrame:
-    """Every suppressible rule's first match on every line before suppression and dedupe, with suppressed."""
+def raw_rule_hits(files: DataFrame, *packs: Pack) -> DataFrame:
+    """Every suppressible rule's first match on every line before suppression and dedupe, with pack and suppressed."""
+    told = [(p, i, r) for p in packs for i, r in p.line_rules() if r.suppress or r.path_suppress]
+    triggers, raw_triggers, _ = pack_triggers(replace(packs[0], rules=tuple(replace(r, heading_only=False) for _, _, r in told)))
 
     def of(x: Column) -> Column:
         rows = []
-        for i, r in pack.line_rules():
-            if r.suppress or r.path_suppress:
-                hay = x["raw"] if r.raw else x["plain"]
-                here = holds(spaced(hay), rule_trigger(r)) & hay.rlike(r.regex)
-                rule = F.get(_table(pack), F.lit(i))
-                rows.append(F.when(here, F.struct(x["line_no"].alias("line"), F.lit(r.label).alias("label"), py_strip(F.regexp_extract(hay, r.regex, 0)).alias("match"), (~_allowed(rule, hay)).alias("suppressed"))))
+        for p, i, r in told:
+            hay = x["raw"] if r.raw else x["plain"]
+            here = holds(spaced(hay), rule_trigger(r)) & hay.rlike(r.regex)
+            rule = F.get(_table(p), F.lit(i))
+            rows.append(F.when(here, F.struct(F.lit(p.name).alias("pack"), x["line_no"].alias("line"), F.lit(r.label).alias("label"), py_strip(F.regexp_extract(hay, r.regex, 0)).alias("match"), (~_allowed(rule, hay)).alias("suppressed"))))
         return F.filter(F.array(*rows), lambda h: h.isNotNull())
 
-    return unfolded(files, F.flatten(F.transform("prose", of)), "file_ord", "path", first="label")
+    def may(x: Column) -> Column:
+        found = holds(spaced(x["plain"]), triggers)
+        return found | holds(spaced(x["raw"]), raw_triggers) if raw_triggers else found
+
+    return unfolded(files, F.flatten(F.transform(F.filter("prose", may), of)), "file_ord", "path", first="label")
 
 
 def findings(corpus: DataFrame, pack: Pack, listing: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:

@@ -137,8 +137,7 @@ QUERIES |= {name: _class_query(*of) for name, of in CLASS_QUERIES.items()}
 @query
 def suppressed_hits(s: SparkSession, d: str) -> DataFrame:
     text = prose.extracted(_markdown(s, d))
-    one = lambda p: match.raw_rule_hits(text, p).select(F.lit(p.name).alias("pack"), "path", "line", "label", "match", "suppressed")
-    return one(REVISION).unionByName(one(GENERATION))
+    return match.raw_rule_hits(text, REVISION, GENERATION).select("pack", "path", "line", "label", "match", "suppressed")
 
 
 @query

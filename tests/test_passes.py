@@ -16,7 +16,7 @@ def _scans(df) -> int:
     return df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet")
 
 
-@pytest.mark.parametrize(("name", "most"), [("dedupe_first_wins", 2), ("sl_findings_class_0d", 2), ("sl_findings_class_1", 1), ("sl_findings_class_0b", 1), ("sl_findings_class_3", 1), ("sl_findings_class_4", 1), ("sl_findings_class_6", 1), ("class_family_filter", 1)])
+@pytest.mark.parametrize(("name", "most"), [("dedupe_first_wins", 2), ("sl_findings_class_0d", 2), ("sl_findings_class_1", 1), ("sl_findings_class_0b", 1), ("sl_findings_class_3", 1), ("sl_findings_class_4", 1), ("sl_findings_class_6", 1), ("suppressed_hits", 1), ("class_family_filter", 1)])
 def test_reads(spark, name, most):
     assert _scans(QUERIES[name](spark, SF)) == most
 
