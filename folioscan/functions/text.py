@@ -38,6 +38,11 @@ def holds(c: Column, pattern: str) -> Column:
     return F.regexp_instr(c, F.lit(pattern)) > 0
 
 
+def spaced(c: Column) -> Column:
+    """The text as triggers are looked for in it."""
+    return F.concat(F.lit(" "), c, F.lit(" "))
+
+
 def split_lines(c: Column) -> Column:
     """Lines of a text without their breaks; a closing break opens no further line. A null text has none."""
     own = F.coalesce(c, F.lit(""))
@@ -47,7 +52,8 @@ def split_lines(c: Column) -> Column:
 
 def line_breaks(c: Column) -> Column:
     """The breaks of a text, in order: one less than its lines, or as many."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(BREAKS), F.lit(0))
+    own = F.coalesce(c, F.lit(""))
+    return F.when(own.rlike(ODD_BREAKS), F.regexp_extract_all(own, F.lit(BREAKS), F.lit(0))).otherwise(F.array_repeat(F.lit("\n"), F.size(F.split(own, "\n", -1)) - 1))
 
 
 def mask_code(c: Column) -> Column:

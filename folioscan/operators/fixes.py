@@ -11,8 +11,9 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, line_breaks, py_rstrip, strip_phrase
+from ..functions.text import holds, let, line_breaks, py_rstrip, spaced, strip_phrase
 from ..plans.rules import APOS, EMOJI, alt
+from ..plans.triggers import bordered, trie
 from .prose import at, extracted, is_markdown, nothing, settled, unfolded
 
 _that = r" that\s+"
@@ -58,8 +59,8 @@ def _start(raw: Column) -> Column:
 
 
 def _some(raw: Column, patterns: list[str]) -> Column:
-    """Whether a rewrite may change the line: one of its patterns matches."""
-    return reduce(Column.__or__, [raw.rlike(p) for p in patterns])
+    """Whether a rewrite may change the line: one of its patterns matches, which are tried where a trigger of theirs is."""
+    return holds(spaced(raw), trie(set().union(*map(bordered, patterns)))) & reduce(Column.__or__, [raw.rlike(p) for p in patterns])
 
 
 def revision_edit(raw: Column) -> tuple[Column, Column]:
@@ -88,20 +89,20 @@ def generation_edit(raw: Column) -> tuple[Column, Column]:
     for said, pattern in OPENERS:
         state = _step(state, said, partial(strip_phrase, pattern=pattern))
     gone = F.struct(F.lit(None).cast("string").alias("new"), F.array(F.lit("deleted a line of pleasantries")).alias("changes"))
-    return _some(raw, [EMOJI, PLEASANTRY, *[p for _, p in OPENERS]]), F.when(raw.rlike(PLEASANTRY), gone).otherwise(state)
+    return raw.rlike(EMOJI) | _some(raw, [PLEASANTRY, *[p for _, p in OPENERS]]), F.when(raw.rlike(PLEASANTRY), gone).otherwise(state)
 
 
 EDITS = {"revision": revision_edit, "generation": generation_edit}
 
 
-def edited(corpus: DataFrame, pack: str) -> DataFrame:
-    """The files as extracted() gives them, with content, units and edits.
+def edited(corpus: DataFrame, pack: str, *more: str, files: DataFrame | None = None) -> DataFrame:
+    """file_ord, path, units and edits of the files, and more of their columns. files: the corpus as extracted() gives it with content, if that is at hand.
 
     units: the lines with what isn't a newline of their breaks, and newlines. edits: line_no, old, new
     and changes of the prose lines that a rewrite changes; never of source files.
     """
     content = corpus.select(F.col("file_ord").alias("ord"), "path", "content")
-    files = extracted(content.withColumnRenamed("ord", "file_ord"), keep_content=True)
+    files = files if files is not None else extracted(content.withColumnRenamed("ord", "file_ord"), keep_content=True)
     files = files.withColumn("breaks", F.when(is_markdown(), line_breaks(F.col("content"))))
     newline = F.lit(r"^(?:\r\n|[\r\n])$")
     units = F.zip_with("lines", "breaks", lambda x, found: let(F.coalesce(found, F.lit("")), lambda b: F.struct(F.when(F.rlike(b, newline), x).otherwise(F.concat(x, b)).alias("text"), F.when(F.rlike(b, newline), "\n").otherwise("").alias("newline"))))
@@ -115,7 +116,7 @@ def edited(corpus: DataFrame, pack: str) -> DataFrame:
         return let(at("units", x["line_no"] - 1)["text"], told)
 
     made = F.filter(F.transform("prose", of), lambda e: e.isNotNull()).cast(EDIT)
-    return settled(files.withColumn("edits", F.when(is_markdown(), made).otherwise(nothing(EDIT))), "file_ord", "path", "units", "edits")
+    return settled(files.withColumn("edits", F.when(is_markdown(), made).otherwise(nothing(EDIT))), "file_ord", "path", "units", "edits", *more)
 
 
 def edits(corpus: DataFrame, pack: str) -> DataFrame:

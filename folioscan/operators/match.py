@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import holds, let, py_lstrip, py_strip, spans
+from ..functions.text import holds, let, py_lstrip, py_strip, spaced, spans
 from ..plans.rules import EMOJI, GENERATION, Pack
 from ..plans.triggers import pack_triggers, rule_trigger
 from .prose import BLOCK_START, extracted, nothing, settled, unfolded
@@ -55,11 +55,6 @@ def _allowed(rule: Column, hay: Column) -> Column:
     return clear & _path_allows(rule)
 
 
-def spaced(c: Column) -> Column:
-    """The text as triggers are looked for in it."""
-    return F.concat(F.lit(" "), c, F.lit(" "))
-
-
 def line_hits(pack: Pack, x: Column) -> Column:
     """All hits of a line of prose x, the first of each class."""
     md = F.col("kind") == "markdown"

@@ -281,7 +281,10 @@ def class_totals(s: SparkSession, d: str) -> DataFrame:
 def report_totals(s: SparkSession, d: str) -> DataFrame:
     kept, records, left = paths.collect(files(s, d))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(match.findings(kept, REVISION), "findings").crossJoin(n(kept, "files")).crossJoin(n(records, "records")).crossJoin(n(left, "source_files")).crossJoin(fixes.fix_count(kept, "revision"))
+    text = match.scanned(prose.extracted(kept, keep_content=True), REVISION)
+    total = lambda c, name: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long").alias(name)
+    once = fixes.edited(kept, "revision", "hits", files=text).agg(total("hits", "findings"), F.count(F.lit(1)).alias("files"), total("edits", "safe_fixes"))
+    return once.crossJoin(n(records, "records")).crossJoin(n(left, "source_files")).select("findings", "files", "records", "source_files", "safe_fixes")
 
 
 # --------------------------------------------------------------------- rewrites

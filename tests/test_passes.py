@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.operators import match, paths, prose, structure
+from folioscan.functions.text import line_breaks
+from folioscan.operators import fixes, match, paths, prose, structure
+from folioscan.plans.planted import EDITED
 from folioscan.plans.queries import QUERIES
-from folioscan.plans.rules import GENERATION, REVISION
+from folioscan.plans.rules import EMOJI, GENERATION, REVISION
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +21,7 @@ def _scans(df) -> int:
     return df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet")
 
 
-@pytest.mark.parametrize(("name", "most"), [("dedupe_first_wins", 2), ("sl_findings_class_0d", 2), ("sl_findings_class_1", 1), ("sl_findings_class_0b", 1), ("sl_findings_class_3", 1), ("sl_findings_class_4", 1), ("sl_findings_class_6", 1), ("suppressed_hits", 1), ("class_family_filter", 1)])
+@pytest.mark.parametrize(("name", "most"), [("dedupe_first_wins", 2), ("sl_findings_class_0d", 2), ("sl_findings_class_1", 1), ("sl_findings_class_0b", 1), ("sl_findings_class_3", 1), ("sl_findings_class_4", 1), ("sl_findings_class_6", 1), ("suppressed_hits", 1), ("report_totals", 3), ("class_family_filter", 1)])
 def test_reads(spark, name, most):
     assert _scans(QUERIES[name](spark, SF)) == most
 
@@ -52,3 +57,21 @@ def test_families_of_plain_strings(spark):
 def test_unasked_classes_are_not_tried(spark):
     said = QUERIES["class_family_filter"](spark, SF)._jdf.queryExecution().logical().toJSON()
     assert "prior-state reference" in said and "salience superlative" not in said
+
+
+def test_line_breaks(spark):
+    texts = ["", "a", "a\n", "\n", "a\n\nb", "a\r\nb\n", "a\x0bb\u2028c\n", "\n\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_breaks(F.col("t")).alias("b")).collect()
+    for r in rows:
+        assert r["b"] == re.findall("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", r["t"])
+
+
+def test_rewrites_hold_their_triggers(spark):
+    lines = [old for _, old, _, _ in EDITED] + ["needless to say, x", "**Worth noting**: y", "Of course, z", "**Five ports** worth  opening **:", "(it’s worth noting that a)", "é Please note that b", "NEEDLESS", "In summary, c", "Let's dive in."]
+    df = spark.createDataFrame([(x,) for x in lines], "raw string")
+    every = {"revision": [fixes.COUNT_WORTH, fixes.THEN_CONFIRMED, *[p for _, p in fixes.REMOVED_REVISION]], "generation": [EMOJI, fixes.PLEASANTRY, *[p for _, p in fixes.OPENERS]]}
+    for pack, patterns in every.items():
+        plainly = reduce(lambda a, b: a | b, [F.col("raw").rlike(p) for p in patterns])
+        rows = df.select("raw", fixes.EDITS[pack](F.col("raw"))[0].alias("may"), plainly.alias("plainly")).collect()
+        assert all(r["may"] == r["plainly"] for r in rows), [r for r in rows if r["may"] != r["plainly"]]
+        assert any(r["may"] for r in rows)
